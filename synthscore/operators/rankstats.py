@@ -159,9 +159,12 @@ def friedman(df: DataFrame, block_col: str, treat_col: str, value_col: str, grou
 
 # ------------------------------------------------------------------ M6 / M7 / M8
 def wilcoxon_pairs(df: DataFrame, block_col: str, treat_col: str, value_col: str,
-                   pairs: Sequence[tuple[str, str, str]], group_cols: Sequence[str] = ()) -> DataFrame:
-    """M6: two-sided Wilcoxon signed-rank per pair (a, b, label): zero differences dropped;
-    all differences ~0 -> (0, 1.0)."""
+                   pairs: Sequence[tuple[str, str, str]], group_cols: Sequence[str] = (),
+                   allclose_rel: float = 0.0, degenerate_stat: float | None = 0.0) -> DataFrame:
+    """M6: two-sided Wilcoxon signed-rank per pair (a, b, label): zero differences dropped.
+    When every |a - b| <= 1e-8 + allclose_rel * |b| the result is (degenerate_stat, 1.0):
+    (0, 1.0) for the dataset-level tests, (NaN -> NULL, 1.0) with allclose_rel 1e-5 for
+    the per-preset tests (P-29)."""
     g = list(group_cols)
     spark = df.sparkSession
     c = complete_only(df, block_col, treat_col, value_col, g)
@@ -182,7 +185,8 @@ def wilcoxon_pairs(df: DataFrame, block_col: str, treat_col: str, value_col: str
     base = d.groupBy(*key).agg(
         F.avg("xa").alias("mean_a"), F.avg("xb").alias("mean_b"), F.avg("d").alias("mean_delta_a_minus_b"),
         F.count_if(F.col("d") > 0).alias("n_a_better"), F.count_if(F.col("d") < 0).alias("n_b_better"),
-        F.count_if(F.col("d") == 0).alias("n_ties"), F.max(F.abs("d")).alias("_maxabs"))
+        F.count_if(F.col("d") == 0).alias("n_ties"),
+        F.count_if(F.abs("d") > F.lit(1e-8) + F.lit(allclose_rel) * F.abs("xb")).alias("_n_far"))
     x = base.join(rk, key, "left").join(ties, key, "left")
     n = F.coalesce(F.col("n_nz"), F.lit(0))
     stat = F.least(F.col("r_plus"), F.col("r_minus"))
@@ -191,11 +195,10 @@ def wilcoxon_pairs(df: DataFrame, block_col: str, treat_col: str, value_col: str
     se = F.sqrt((nn * (nn + 1) * (2 * nn + 1) - F.lit(0.5) * F.coalesce(F.col("tie_sum"), F.lit(0.0))) / 24.0)
     approx = F.lit(2.0) * norm_sf_expr(F.abs(stat - mn) / se)
     exact_ok = (n <= EXACT_MAX_N) & (F.col("n_ties") == 0) & (F.coalesce(F.col("max_t"), F.lit(1)) == 1)
-    all_zero = F.col("_maxabs") <= F.lit(1e-8) + F.lit(1e-5) * F.greatest(F.abs(F.col("mean_a")), F.abs(F.col("mean_b")))
-    degenerate = all_zero | (n == 0)
+    degenerate = (F.col("_n_far") == 0) | (n == 0)
     return x.select(
         *key, "mean_a", "mean_b", "mean_delta_a_minus_b", "n_a_better", "n_b_better", "n_ties",
-        F.when(degenerate, F.lit(0.0)).otherwise(stat).alias("wilcoxon_stat"),
+        F.when(degenerate, F.lit(degenerate_stat).cast("double")).otherwise(stat).alias("wilcoxon_stat"),
         F.when(degenerate, F.lit(1.0)).when(exact_ok, wilcoxon_exact_p(n, stat)).otherwise(approx).alias("p_raw"),
     )
 
@@ -210,7 +213,7 @@ def holm(df: DataFrame, p_col: str = "p_raw", group_cols: Sequence[str] = (), ou
     d = df.withColumn("_i", F.row_number().over(w)).withColumn("_m", F.count(F.lit(1)).over(wm))
     d = d.withColumn("_adj", F.least(F.lit(1.0), (F.col("_m") - F.col("_i") + 1) * F.col(p_col)))
     d = d.withColumn(out_col, F.max("_adj").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.withColumn(f"significant_holm_{alpha}".replace(".", "_"), F.col(out_col) < alpha) \
+    return d.withColumn(f"significant_holm_{alpha}".replace(".", "_"), F.col(out_col) <= alpha) \
             .drop("_i", "_m", "_adj")
 
 

@@ -150,7 +150,7 @@ def _pairs_sql(pairs) -> str:
     return " union all ".join(f"select '{a}' as a, '{b}' as b, '{lbl}' as comparison" for a, b, lbl in pairs)
 
 
-def wilcoxon_sql(src: str, pairs, group: str = "") -> str:
+def wilcoxon_sql(src: str, pairs, group: str = "", allclose_rel: float = 0.0, degenerate_stat: str = "0e0") -> str:
     """SQL twin of wilcoxon_pairs + holm over ``src`` (block = dataset, treatment = sampler, value = mean_best_j)."""
     g = f"{group}, " if group else ""
     gj = f" and x.{group} = y.{group}" if group else ""
@@ -168,11 +168,11 @@ tie as (select {g}comparison, a, b, sum(t * (t * t - 1)) as tie_sum, max(t) as m
         from (select {g}comparison, a, b, ad, count(*) as t from nz group by {g}comparison, a, b, ad) group by {g}comparison, a, b),
 base as (select {g}comparison, a, b, avg(xa) as mean_a, avg(xb) as mean_b, avg(d) as mean_delta_a_minus_b,
                 count_if(d > 0) as n_a_better, count_if(d < 0) as n_b_better, count_if(d = 0) as n_ties,
-                max(abs(d)) as maxabs from d group by {g}comparison, a, b),
+                count_if(abs(d) > 1e-8 + cast({allclose_rel!r} as double) * abs(xb)) as n_far from d group by {g}comparison, a, b),
 w as (select base.*, coalesce(rk.n_nz, 0) as n, least(rk.r_plus, rk.r_minus) as stat, tie.tie_sum, tie.max_t
       from base left join rk using ({g}comparison, a, b) left join tie using ({g}comparison, a, b)),
 pv as (select w.*,
-         (maxabs <= 1e-8 + 1e-5 * greatest(abs(mean_a), abs(mean_b)) or n = 0) as degenerate,
+         (n_far = 0 or n = 0) as degenerate,
          case when n <= {M.EXACT_MAX_N} and n_ties = 0 and coalesce(max_t, 1) = 1 and n > 0 then
            least(1e0, 2e0 * list_sum(list_slice(list_reduce(range(1, n + 1),
              lambda c, i: list_transform(range(0, cast(n * (n + 1) / 2 as integer) + 1),
@@ -182,7 +182,7 @@ pv as (select w.*,
          else 2e0 * 0.5e0 * {erfc_sql('abs(stat - n * (n + 1) * 0.25e0) / sqrt((n * (n + 1) * (2 * n + 1) - 0.5e0 * coalesce(tie_sum, 0)) / 24e0) / sqrt(2e0)')}
          end as p_calc
        from w),
-fin as (select *, case when degenerate then 0e0 else stat end as wilcoxon_stat,
+fin as (select *, case when degenerate then {degenerate_stat} else stat end as wilcoxon_stat,
                case when degenerate then 1e0 else p_calc end as p_raw from pv),
 hl as (select *, row_number() over (partition by {g[:-2] if g else '1'} order by p_raw, comparison) as i,
               count(*) over (partition by {g[:-2] if g else '1'}) as m from fin)
@@ -196,7 +196,7 @@ from hl"""
 select comparison, a, b, round(mean_a, 9) as mean_a, round(mean_b, 9) as mean_b,
        round(mean_delta_a_minus_b, 9) as mean_delta_a_minus_b, n_a_better, n_b_better, n_ties,
        round(wilcoxon_stat, 9) as wilcoxon_stat, round(p_raw, 9) as p_raw, round(p_holm, 9) as p_holm,
-       p_holm < 0.05 as significant_holm_0_05,
+       p_holm <= 0.05 as significant_holm_0_05,
        case when abs(mean_delta_a_minus_b) < 1e-15 then 'no difference'
             when mean_delta_a_minus_b > 0 then la.label || ' higher mean (numerically)'
             else lb.label || ' higher mean (numerically)' end as direction
@@ -288,3 +288,19 @@ def m14_dataset_matrix(spark, sf_dir):
 
 
 _ = PAIRS  # the challenger/baseline pairs live with the trial operators
+
+
+def friedman_sql(src: str, group: str) -> str:
+    """Grouped SQL twin of rankstats.friedman over complete blocks of ``src``
+    (columns: group, dataset, sampler, mean_best_j)."""
+    return f"""
+with rr as (select *, rank() over (partition by {group}, dataset order by mean_best_j)
+                      + (count(*) over (partition by {group}, dataset, mean_best_j) - 1) / 2e0 as arank from {src}),
+a as (select {group}, count(*) as k, max(nb) as n, sum(r * r) as sum_r2
+      from (select {group}, sampler, sum(arank) as r, count(*) as nb from rr group by {group}, sampler) group by {group}),
+b as (select {group}, sum(t * t * t - t) as tie_sum
+      from (select {group}, count(*) as t from rr group by {group}, dataset, mean_best_j) group by {group}),
+c as (select a.{group}, n, k, (12e0 / (n * k * (k + 1)) * sum_r2 - 3e0 * n * (k + 1)) / (1e0 - tie_sum / (n * k * (k * k - 1e0))) as chi2
+      from a join b using ({group}))
+select {group}, n as n_blocks, k as n_treatments, chi2, k - 1 as df, {chi2_sf_sql('chi2', 'k - 1')} as p_value,
+       chi2 / (n * (k - 1)) as kendalls_w from c"""
