@@ -42,3 +42,52 @@ def running_max(df, part_cols, order_col, value_col, out_col, block_size: int =
 
 def running_min(df, part_cols, order_col, value_col, out_col, block_size: int = DEFAULT_BLOCK):
     return running_extreme(df, part_cols, order_col, value_col, out_col, block_size, minimise=True)
+
+
+# ---------------------------------------------------------------- bucketed prefix counts
+DEFAULT_BUCKETS = 256
+
+
+def bucket_of(v, cuts, steps: int = 20):
+    """Number of cut points <= v: binary search over a sorted array, JVM-side."""
+    init = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size(cuts), F.lit(0)).alias("hi"))
+
+    def step(acc, _i):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        go_right = F.element_at(cuts, mid + 1) <= v
+        return F.when(acc["lo"] < acc["hi"],
+                      F.when(go_right, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
+                      .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))).otherwise(acc)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
+
+
+def value_cuts(values: DataFrame, key_cols: Sequence[str], value_col: str, buckets: int = DEFAULT_BUCKETS,
+               accuracy: int = 10_000) -> DataFrame:
+    """Cut points of the value axis per key: one row per key with at most ``buckets - 1`` doubles
+    (bounded by keys x buckets, so it may be broadcast)."""
+    probs = [i / buckets for i in range(1, buckets)]
+    return values.groupBy(*key_cols).agg(
+        F.array_sort(F.array_distinct(F.percentile_approx(value_col, F.array(*[F.lit(p) for p in probs]), accuracy)))
+        .alias("_cuts"))
+
+
+def with_bucket(df: DataFrame, cuts: DataFrame, key_cols: Sequence[str], value_col: str) -> DataFrame:
+    j = df.join(F.broadcast(cuts), list(key_cols)) if key_cols else df.crossJoin(F.broadcast(cuts))
+    return j.withColumn("_b", bucket_of(F.col(value_col), F.col("_cuts"))).drop("_cuts")
+
+
+def prefix_le(counts: DataFrame, part_cols: Sequence[str], value_col: str, count_col: str) -> DataFrame:
+    """Add ``_le`` = sum of ``count_col`` over rows of the same part with value <= this value.
+
+    Needs a bucket column ``_b`` (monotone in the value).  Running sums are taken
+    inside (part, bucket) windows only; a small per-bucket prefix table adds the
+    counts of all earlier buckets.
+    """
+    part = list(part_cols)
+    w = Window.partitionBy(*part, "_b").orderBy(value_col).rangeBetween(Window.unboundedPreceding, 0)
+    d = counts.withColumn("_in", F.sum(count_col).over(w))
+    tot = counts.groupBy(*part, "_b").agg(F.sum(count_col).alias("_bt"))
+    wb = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.withColumn("_off", F.coalesce(F.sum("_bt").over(wb), F.lit(0))).drop("_bt")
+    return d.join(tot, [*part, "_b"]).withColumn("_le", F.col("_in") + F.col("_off")).drop("_in", "_off")
