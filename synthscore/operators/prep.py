@@ -44,3 +44,88 @@ def melt(df: DataFrame, id_cols: Sequence[str], value_cols: Sequence[str], dtype
 def scale_expr(c: Column, mean: Column, std: Column) -> Column:
     """F4 / P-10: (x - mean) / population std; zero std divides by 1."""
     return (c - mean) / F.when((std.isNull()) | (std == 0), F.lit(1.0)).otherwise(std)
+
+
+# ------------------------------------------------------------------ F1 / F2: imputation
+def fit_fill_values(train: DataFrame, discrete: Sequence[str], continuous: Sequence[str]) -> DataFrame:
+    """F1 / P-8: mode (smallest of tied modes) for discrete / non-numeric columns, exact median
+    for continuous ones, fitted on train only; an empty column fills with 0.
+
+    Returns (col_name, fill_str, fill_num): one row per column.  The mode buffer holds one
+    count per distinct value of a discrete column (bounded by its cardinality); medians use
+    the bounded exact-quantile plan.
+    """
+    from .quantiles import exact_quantiles
+    spark = train.sparkSession
+    parts = []
+    if discrete:
+        modes = train.agg(*[F.mode(F.col(c), True).cast("string").alias(c) for c in discrete])
+        parts.append(modes.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("col_name"), F.coalesce(F.col(c), F.lit("0")).alias("fill_str"),
+                     F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias("fill_num")) for c in discrete]))
+            .alias("_x")).select("_x.*"))
+    if continuous:
+        long = melt(train, [], continuous)
+        names = spark.createDataFrame([(c,) for c in continuous], "col_name string")
+        med = exact_quantiles(long, ["col_name"], "value", [0.5], out_names=["m"])
+        med = names.join(med, "col_name", "left")
+        parts.append(med.select("col_name", F.coalesce(F.col("m"), F.lit(0.0)).cast("string").alias("fill_str"),
+                                F.coalesce(F.col("m"), F.lit(0.0)).alias("fill_num")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def apply_fills(df: DataFrame, fills: DataFrame) -> DataFrame:
+    """fill NULLs with the fitted values (one small row per column, read on the driver)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    vals = {}
+    for r in fills.collect():
+        c = r["col_name"]
+        if c not in types:
+            continue
+        t = types[c].typeName()
+        if t == "string":
+            vals[c] = r["fill_str"]
+        elif t in ("integer", "long", "short", "byte"):
+            vals[c] = int(round(r["fill_num"]))
+        else:
+            vals[c] = float(r["fill_num"])
+    return df.fillna(vals) if vals else df
+
+
+# ------------------------------------------------------------------ F4: scaling
+def fit_scaler(train: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """F4 / P-10: mean and population std per column (one row)."""
+    return train.agg(*[x for c in cols for x in (F.avg(F.col(c).cast("double")).alias(f"_mu_{c}"),
+                                                  F.stddev_pop(F.col(c).cast("double")).alias(f"_sd_{c}"))])
+
+
+def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
+    j = df.crossJoin(F.broadcast(stats))  # one row
+    for c in cols:
+        j = j.withColumn(c + suffix, scale_expr(F.col(c).cast("double"), F.col(f"_mu_{c}"), F.col(f"_sd_{c}")))
+    return j.drop(*[x for c in cols for x in (f"_mu_{c}", f"_sd_{c}")])
+
+
+# ------------------------------------------------------------------ F8 / F9
+def label_space(*frames_and_cols) -> DataFrame:
+    """F8: sorted union of the label strings of several (frame, column) pairs -> (label, idx)."""
+    u = None
+    for df, c in frames_and_cols:
+        x = df.select(F.col(c).cast("string").alias("label")).where(F.col("label").isNotNull())
+        u = x if u is None else u.unionByName(x)
+    u = u.distinct()
+    return u.withColumn("idx", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("bigint"))
+
+
+def decode_codes(df: DataFrame, code_col: str, levels: DataFrame, out_col: str) -> DataFrame:
+    """integer codes back to labels, clipped to the valid range [0, n-1].
+    ``levels``: (level, code) of one column — bounded by its cardinality, so the level
+    list is attached as one array."""
+    arr = levels.agg(F.sort_array(F.collect_list(F.struct("code", "level"))).alias("_lv"))
+    j = df.crossJoin(F.broadcast(arr))
+    n = F.size("_lv")
+    idx = F.least(F.greatest(F.round(F.col(code_col).cast("double")).cast("int"), F.lit(0)), n - 1)
+    return j.withColumn(out_col, F.element_at(F.col("_lv"), idx + 1)["level"]).drop("_lv")

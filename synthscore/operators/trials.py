@@ -26,7 +26,8 @@ PAIRS = [("multivariate_tpe", "standard_tpe", "MT-ST"),
 # Run status preference when de-duplicating (lower wins, unknown = 9).
 STATUS_RANK = {"completed": 0, "skipped_resume": 1, "partial": 2, "failed": 3}
 
-COMPLETE = F.col("state") == "COMPLETE"
+def _complete() -> Column:
+    return F.col("state") == "COMPLETE"
 
 
 def _lit_map(d: dict) -> Column:
@@ -40,14 +41,14 @@ def _epoch_s(c: Column) -> Column:
 
 # ------------------------------------------------------------------ K3 / K4
 def study_summary(scored: DataFrame, keys: Sequence[str] = STUDY_KEYS) -> DataFrame:
-    """K3: one row per study.  Best trial = max objective among COMPLETE, ties -> lowest trial_number."""
+    """K3: one row per study.  Best trial = max objective among _complete(), ties -> lowest trial_number."""
     best = F.max_by(
         F.struct("objective", "fidelity", "utility", "privacy_risk", "trial_number"),
-        F.when(COMPLETE & F.col("objective").isNotNull(),
+        F.when(_complete() & F.col("objective").isNotNull(),
                F.struct(F.col("objective"), (-F.col("trial_number")).alias("neg_trial"))),
     )
     s = scored.groupBy(*keys).agg(
-        F.count_if(COMPLETE).alias("n_complete"),
+        F.count_if(_complete()).alias("n_complete"),
         F.count_if(F.col("state") == "FAIL").alias("n_fail"),
         F.count_if(F.col("state") == "PRUNED").alias("n_pruned"),
         F.count(F.lit(1)).alias("n_attempted"),
@@ -171,19 +172,19 @@ def complete_blocks(runs: DataFrame, n_seeds: int = 3, samplers: Sequence[str] =
 # ------------------------------------------------------------------ K9 .. K11
 def running_best(scored: DataFrame, keys: Sequence[str] = STUDY_KEYS, block_size: int = 4096) -> DataFrame:
     """K9 / P-32: one value per trial number (max over duplicates), then the cumulative max."""
-    per_trial = (scored.where(COMPLETE & F.col("objective").isNotNull())
+    per_trial = (scored.where(_complete() & F.col("objective").isNotNull())
                  .groupBy(*keys, "trial_number").agg(F.max("objective").alias("objective")))
     return running_max(per_trial, keys, "trial_number", "objective", "best_so_far", block_size)
 
 
 def running_best_elapsed(scored: DataFrame, keys: Sequence[str] = STUDY_KEYS, block_size: int = 4096) -> DataFrame:
-    """Running best of COMPLETE trials against seconds since the study's first trial start.
+    """Running best of _complete() trials against seconds since the study's first trial start.
 
     elapsed = (start + duration) - start of the lowest-numbered trial; trial
     number when no timestamp exists.
     """
     t0 = scored.groupBy(*keys).agg(F.min_by("started", "trial_number").alias("_t0"))
-    c = scored.where(COMPLETE & F.col("objective").isNotNull()).join(t0, list(keys))
+    c = scored.where(_complete() & F.col("objective").isNotNull()).join(t0, list(keys))
     c = c.withColumn("elapsed_s", F.coalesce(
         _epoch_s(F.col("started")) + F.col("duration_s") - _epoch_s(F.col("_t0")),
         F.col("trial_number").cast("double")))
@@ -203,29 +204,29 @@ def convergence_band(curves: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ K12 / K13 / K17
 def study_cost(scored: DataFrame, keys: Sequence[str] = STUDY_KEYS) -> DataFrame:
-    """K12 / P-33: state counts, best trial, mean / median / sum seconds of COMPLETE trials, error count."""
+    """K12 / P-33: state counts, best trial, mean / median / sum seconds of _complete() trials, error count."""
     base = scored.groupBy(*keys).agg(
-        F.count_if(COMPLETE).alias("n_complete"),
+        F.count_if(_complete()).alias("n_complete"),
         F.count_if(F.col("state") == "FAIL").alias("n_fail"),
         F.count_if(F.col("state") == "PRUNED").alias("n_pruned"),
         F.count(F.lit(1)).alias("n_attempted"),
-        F.max_by("trial_number", F.when(COMPLETE, F.struct(F.col("objective"), -F.col("trial_number")))
+        F.max_by("trial_number", F.when(_complete(), F.struct(F.col("objective"), -F.col("trial_number")))
                  ).alias("best_trial_number"),
-        F.max(F.when(COMPLETE, F.col("objective"))).alias("best_objective"),
-        F.avg(F.when(COMPLETE, F.col("duration_s"))).alias("mean_complete_s"),
-        F.sum(F.when(COMPLETE, F.col("duration_s"))).alias("sum_complete_s"),
+        F.max(F.when(_complete(), F.col("objective"))).alias("best_objective"),
+        F.avg(F.when(_complete(), F.col("duration_s"))).alias("mean_complete_s"),
+        F.sum(F.when(_complete(), F.col("duration_s"))).alias("sum_complete_s"),
         F.count_if(F.col("state").isin("FAIL", "PRUNED")).alias("n_errors"),
     )
-    med = exact_quantiles(scored.where(COMPLETE), keys, "duration_s", [0.5], out_names=["median_complete_s"])
+    med = exact_quantiles(scored.where(_complete()), keys, "duration_s", [0.5], out_names=["median_complete_s"])
     return base.join(med, list(keys), "left")
 
 
 def duration_distribution(scored: DataFrame, group_cols: Sequence[str] = ("dataset", "generator", "sampler"),
                           probs: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
-    """Distribution of COMPLETE trial durations (box-plot quantiles) per group."""
+    """Distribution of _complete() trial durations (box-plot quantiles) per group."""
     names = [f"p{int(round(p * 100)):02d}_s" for p in probs]
-    q = exact_quantiles(scored.where(COMPLETE), list(group_cols), "duration_s", list(probs), out_names=names)
-    n = scored.where(COMPLETE & F.col("duration_s").isNotNull()).groupBy(*group_cols).agg(
+    q = exact_quantiles(scored.where(_complete()), list(group_cols), "duration_s", list(probs), out_names=names)
+    n = scored.where(_complete() & F.col("duration_s").isNotNull()).groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("n_trials"))
     return q.join(n, list(group_cols), "inner")
 
@@ -306,10 +307,10 @@ def study_inventory(scored: DataFrame, grid: DataFrame) -> DataFrame:
     """Every grid study with counts (0 for absent studies) and best params as JSON."""
     s = scored.groupBy(*STUDY_KEYS).agg(
         F.count(F.lit(1)).alias("n_trials"),
-        F.count_if(COMPLETE).alias("n_complete"),
+        F.count_if(_complete()).alias("n_complete"),
         F.max_by(F.struct("fidelity", "utility", "privacy_risk"),
-                 F.when(COMPLETE, F.struct(F.col("objective"), -F.col("trial_number")))).alias("_b"),
-        F.max(F.when(COMPLETE, F.col("objective"))).alias("best_objective"))
+                 F.when(_complete(), F.struct(F.col("objective"), -F.col("trial_number")))).alias("_b"),
+        F.max(F.when(_complete(), F.col("objective"))).alias("best_objective"))
     j = grid.join(s, STUDY_KEYS, "left")
     return j.select(*STUDY_KEYS, F.coalesce("n_trials", F.lit(0)).alias("n_trials"),
                     F.coalesce("n_complete", F.lit(0)).alias("n_complete"), "best_objective",
@@ -350,8 +351,8 @@ def trial_budget(studies: DataFrame, by_pair: DataFrame, by_generator: DataFrame
 
 # ------------------------------------------------------------------ K25, K27 .. K29, K32 .. K34
 def rescore_queue(scored: DataFrame, cache: DataFrame, generators: Sequence[str] | None = None) -> DataFrame:
-    """COMPLETE trials without a cached score, optionally for some generators."""
-    q = scored.where(COMPLETE)
+    """_complete() trials without a cached score, optionally for some generators."""
+    q = scored.where(_complete())
     if generators:
         q = q.where(F.col("generator").isin(list(generators)))
     return q.join(cache.select(*STUDY_KEYS, "trial_number"), STUDY_KEYS + ["trial_number"], "left_anti")

@@ -48,8 +48,9 @@ def running_min(df, part_cols, order_col, value_col, out_col, block_size: int =
 DEFAULT_BUCKETS = 256
 
 
-def bucket_of(v, cuts, steps: int = 20):
-    """Number of cut points <= v: binary search over a sorted array, JVM-side."""
+def bucket_of(v, cuts, steps: int = 10):
+    """Number of cut points <= v: binary search over a sorted array (at most 2^steps - 1
+    cut points), JVM-side; an empty cut array short-cuts to bucket 0."""
     init = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size(cuts), F.lit(0)).alias("hi"))
 
     def step(acc, _i):
@@ -59,17 +60,26 @@ def bucket_of(v, cuts, steps: int = 20):
                       F.when(go_right, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi")))
                       .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
+    search = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
+    return F.when(F.coalesce(F.size(cuts), F.lit(0)) <= 0, F.lit(0)).otherwise(search)
 
 
 def value_cuts(values: DataFrame, key_cols: Sequence[str], value_col: str, buckets: int = DEFAULT_BUCKETS,
-               accuracy: int = 10_000) -> DataFrame:
+               accuracy: int = 10_000, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Cut points of the value axis per key: one row per key with at most ``buckets - 1`` doubles
-    (bounded by keys x buckets, so it may be broadcast)."""
+    (bounded by keys x buckets, so it may be broadcast).  The number of buckets adapts to
+    the key's row count at run time (about ``rows_per_bucket`` rows each, at most ``buckets``),
+    so a small key gets no cut at all."""
     probs = [i / buckets for i in range(1, buckets)]
-    return values.groupBy(*key_cols).agg(
+    g = values.groupBy(*key_cols).agg(
+        F.count(F.lit(1)).alias("_n"),
         F.array_sort(F.array_distinct(F.percentile_approx(value_col, F.array(*[F.lit(p) for p in probs]), accuracy)))
-        .alias("_cuts"))
+        .alias("_all"))
+    need = F.least(F.lit(buckets), F.ceil(F.col("_n") / F.lit(float(rows_per_bucket)))).cast("int")
+    step = F.greatest(F.lit(1), F.floor(F.lit(float(buckets)) / need).cast("int"))
+    cuts = F.when(need <= 1, F.array().cast("array<double>")).otherwise(
+        F.filter(F.col("_all"), lambda x, i: (i + 1) % step == 0))
+    return g.select(*key_cols, cuts.alias("_cuts"))
 
 
 def with_bucket(df: DataFrame, cuts: DataFrame, key_cols: Sequence[str], value_col: str) -> DataFrame:
