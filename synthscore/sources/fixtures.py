@@ -169,4 +169,7 @@ def with_fixtures(sql: str, *names: str, extra: list[tuple[str, str]] | None = N
     """Prefix ``sql`` with the named fixture views (and extra CTEs) as a WITH clause."""
     ctes = [f"{n} as ({FIXTURE_SQL[n]}\n)" for n in names]
     ctes += [f"{n} as ({body}\n)" for n, body in (extra or [])]
+    body = sql.lstrip()
+    if ctes and body[:5].lower() == "with ":
+        return "with " + ",\n".join(ctes) + ",\n" + body[5:]
     return "with " + ",\n".join(ctes) + "\n" + sql if ctes else sql
