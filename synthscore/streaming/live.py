@@ -28,16 +28,16 @@ from pyspark.sql.streaming import StreamingQuery
 LIVE_KEYS = ("sampler", "dataset", "generator")
 
 
-def finished_at(started: str = "started", duration: str = "duration_s") -> Column:
-    """End time of a trial with exact microsecond arithmetic; keeps the input's timestamp type
-    (the trial log stores wall-clock times without zone), so no session time zone is involved."""
-    us = F.round(F.coalesce(F.col(duration), F.lit(0.0)) * 1e6).cast("bigint")
-    return F.timestamp_add("MICROSECOND", us, F.col(started))
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a zone-less (TIMESTAMP_NTZ) wall-clock time."""
+    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
 
 
-def epoch_seconds(ts: Column) -> Column:
-    """Seconds since 1970-01-01 00:00 of a zone-less timestamp."""
-    return F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
+def finished_at(started: str = "started", duration: str = "duration_s") -> Column:
+    """End instant of a trial as TIMESTAMP (what watermarks need), computed with exact
+    microsecond integers from the log's zone-less start time, so no session time zone applies."""
+    us = F.round(F.coalesce(F.col(duration), F.lit(0.0)) * 1e6).cast("bigint")
+    return F.timestamp_micros(epoch_micros(F.col(started)) + us)
 
 
 def trial_event_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None,
@@ -127,7 +127,7 @@ def hourly_throughput(trials: DataFrame, watermark: str | None = "2 hours",
     g = t.groupBy(F.window("finished", "1 hour").alias("w"), *group_cols).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_finished"),
         F.avg("objective").alias("mean_objective"))
-    return g.select(epoch_seconds(F.col("w.start")).alias("hour_start"), *group_cols, "n_finished",
+    return g.select(F.unix_seconds(F.col("w.start")).alias("hour_start"), *group_cols, "n_finished",
                     "mean_objective")
 
 
