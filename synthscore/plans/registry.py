@@ -26,7 +26,7 @@ class QuerySpec:
 
 REGISTRY: dict[str, QuerySpec] = {}
 
-_MODULES = ["trial_log", "stats", "reweight", "metrics", "prep", "privacy", "synth", "utility", "reports", "live"]
+_MODULES = ["trial_log", "stats", "reweight", "metrics", "prep", "privacy", "synth", "utility", "reports", "live", "sources"]
 
 
 def register(name: str, sql: str | None = None):
