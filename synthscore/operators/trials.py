@@ -405,3 +405,41 @@ def failed_study_rows(grid: DataFrame, summaries: DataFrame) -> DataFrame:
     j = grid.join(summaries, STUDY_KEYS, "left")
     return j.withColumn("error", F.when(F.col("status").isNull(), F.lit("no summary written"))) \
             .withColumn("status", F.coalesce(F.col("status"), F.lit("failed")))
+
+
+# ------------------------------------------------------------------ K31
+def param_importance(trials: DataFrame, params: dict[str, str], keys: Sequence[str] = STUDY_KEYS,
+                     bins: int = 10, top_k: int | None = None) -> DataFrame:
+    """K31 (re-aimed from fANOVA): correlation ratio eta^2 = between-bin SS / total SS of the
+    objective per parameter and study, normalised to sum 1 over the study's parameters.
+
+    ``params`` maps column -> ``"float"`` (equal-width bins between the study's min and max)
+    or ``"cat"`` (one bin per value).  A parameter counts when the study has >= 3 COMPLETE
+    trials with a value and >= 2 occupied bins.  Everything is a grouped aggregate over
+    (study, parameter[, bin]); the per-bin table is small and joined back by key."""
+    k = list(keys)
+    items = [F.struct(F.lit(name).alias("param"), F.lit(kind).alias("kind"),
+                      F.col(name).cast("double" if kind == "float" else "string").cast("string").alias("raw"))
+             for name, kind in params.items()]
+    long = (trials.where(_complete() & F.col("objective").isNotNull())
+            .select(*k, "objective", F.explode(F.array(*items)).alias("p"))
+            .select(*k, "objective", "p.param", "p.kind", "p.raw").where(F.col("raw").isNotNull()))
+    num = F.col("raw").cast("double")
+    rng = long.where(F.col("kind") == "float").groupBy(*k, "param").agg(F.min(num).alias("lo"), F.max(num).alias("hi"))
+    long = long.join(rng, k + ["param"], "left")
+    fbin = F.when(F.col("hi") > F.col("lo"), F.least(
+        F.floor((num - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.lit(bins)), F.lit(bins - 1))).otherwise(F.lit(0))
+    long = long.withColumn("bin", F.when(F.col("kind") == "float", fbin.cast("bigint").cast("string"))
+                           .otherwise(F.col("raw")))
+    per_bin = long.groupBy(*k, "param", "bin").agg(F.count(F.lit(1)).alias("n_b"), F.avg("objective").alias("m_b"))
+    tot = long.groupBy(*k, "param").agg(F.count(F.lit(1)).alias("n"), F.avg("objective").alias("m"),
+                                        F.var_pop("objective").alias("v"))
+    between = per_bin.join(tot.select(*k, "param", "m"), k + ["param"]).groupBy(*k, "param").agg(
+        F.sum(F.col("n_b") * (F.col("m_b") - F.col("m")) * (F.col("m_b") - F.col("m"))).alias("ss_between"),
+        F.count(F.lit(1)).alias("n_bins"))
+    e = tot.join(between, k + ["param"]).where((F.col("n") >= 3) & (F.col("n_bins") >= 2) & (F.col("v") > 0))
+    e = e.select(*k, "param", (F.col("ss_between") / (F.col("v") * F.col("n"))).alias("eta2"))
+    study = Window.partitionBy(*k)
+    e = e.withColumn("importance", F.try_divide(F.col("eta2"), F.sum("eta2").over(study)))
+    e = e.withColumn("rank", F.row_number().over(study.orderBy(F.col("importance").desc(), F.col("param"))))
+    return e.where(F.col("rank") <= top_k) if top_k else e

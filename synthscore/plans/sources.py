@@ -35,7 +35,7 @@ def _wide(spark, sf_dir):
         F.col("fidelity").alias("user_attrs_fidelity"), F.col("utility").alias("user_attrs_utility"),
         F.col("privacy_risk").alias("user_attrs_privacy_risk"),
         F.round(F.col("utility") * 0.1, 6).alias("params_noise_std"),
-        (F.col("event_id") % 3).alias("params_n_layers"))
+        (F.col("trial_number") % 3).alias("params_n_layers"))
 
 
 A10_COLS = ["dataset", "generator", "sampler", "seed", "trial_number", "state", "objective", "fidelity", "utility",
@@ -45,7 +45,7 @@ A10_COLS = ["dataset", "generator", "sampler", "seed", "trial_number", "state",
 @register("a10_wide_to_trials", trial_sql("""
 select dataset, generator, sampler, seed, trial_number, state, round(objective, 9) as objective, fidelity, utility,
        privacy_risk, duration_s, cast(null as bigint) as trial_seed, cast(null as varchar) as error,
-       round(utility * 0.1e0, 6) as param_noise_std, event_id % 3 as param_n_layers
+       round(utility * 0.1e0, 6) as param_noise_std, trial_number % 3 as param_n_layers
 from scored""", summary=False))
 def a10_wide_to_trials(spark, sf_dir):
     """A10: wide tracker export (text durations, user_attrs_*, params_*) back to the trial schema."""
@@ -73,3 +73,42 @@ def b1_master_rows(spark, sf_dir):
         F.col("best_utility").alias("utility"), F.col("best_privacy_risk").alias("privacy_risk"),
         F.concat_ws("/", "sampler", "dataset", "generator", F.col("seed").cast("string")).alias("run_dir"))
     return S.master_rows(s)
+
+
+K31_KEYS = "dataset, generator, sampler, seed"
+
+
+@register("k31_param_importance", trial_sql(f"""
+with ptrials as (select {K31_KEYS}, state, objective, round(utility * 0.1e0, 6) as param_noise_std,
+                        trial_number % 3 as param_n_layers from scored),
+long as (select {K31_KEYS}, objective, 'noise_std' as param, 'float' as kind, param_noise_std as x,
+                cast(null as varchar) as c
+         from ptrials where state = 'COMPLETE' and objective is not null and param_noise_std is not null
+         union all
+         select {K31_KEYS}, objective, 'n_layers', 'cat', cast(null as double), cast(param_n_layers as varchar)
+         from ptrials where state = 'COMPLETE' and objective is not null and param_n_layers is not null),
+rng as (select {K31_KEYS}, param, min(x) as lo, max(x) as hi from long where kind = 'float'
+        group by {K31_KEYS}, param),
+binned as (select l.*, case when kind = 'float' then cast(cast(case when r.hi > r.lo
+             then least(floor((x - r.lo) / (r.hi - r.lo) * 10), 9) else 0 end as bigint) as varchar) else c end as bin
+           from long l left join rng r using ({K31_KEYS}, param)),
+per_bin as (select {K31_KEYS}, param, bin, count(*) as n_b, avg(objective) as m_b from binned
+            group by {K31_KEYS}, param, bin),
+tot as (select {K31_KEYS}, param, count(*) as n, avg(objective) as m, var_pop(objective) as v from binned
+        group by {K31_KEYS}, param),
+btw as (select {K31_KEYS}, param, sum(n_b * (m_b - m) * (m_b - m)) as ss_between, count(*) as n_bins
+        from per_bin join tot using ({K31_KEYS}, param) group by {K31_KEYS}, param),
+e as (select {K31_KEYS}, param, ss_between / (v * n) as eta2 from tot join btw using ({K31_KEYS}, param)
+      where n >= 3 and n_bins >= 2 and v > 0),
+i as (select *, eta2 / sum(eta2) over (partition by {K31_KEYS}) as importance from e)
+select {K31_KEYS}, param, round(eta2, 6) as eta2, round(importance, 6) as importance,
+       cast(row_number() over (partition by {K31_KEYS} order by importance desc, param) as bigint) as rank
+from i""", summary=False))
+def k31_param_importance(spark, sf_dir):
+    """Per-study parameter effect (eta^2, normalised to 1) on the tracker log converted by A10."""
+    from ..operators.trials import param_importance
+    t = S.wide_to_trials(_wide(spark, sf_dir), F.col("dataset"), F.col("generator"), F.col("sampler"), F.col("seed"))
+    e = param_importance(t, {"param_noise_std": "float", "param_n_layers": "cat"}, top_k=5)
+    e = e.withColumn("param", F.regexp_replace("param", "^param_", ""))
+    return e.select("dataset", "generator", "sampler", "seed", "param", F.round("eta2", 6).alias("eta2"),
+                    F.round("importance", 6).alias("importance"), F.col("rank").cast("bigint").alias("rank"))
