@@ -115,3 +115,11 @@ def encode_params(df: DataFrame, group_cols: Sequence[str], num_cols: Sequence[s
            .otherwise((v - F.col(f"_mn_{c}")) / (F.col(f"_mx_{c}") - F.col(f"_mn_{c}"))).alias(f"{c}_scaled")
            for c, v in vals.items()]
     return out.select(*df.columns, *res)
+
+
+def expand_json_map(df: DataFrame, column: str, keys: Sequence[str], prefix: str, value_type: str = "double") -> DataFrame:
+    """A JSON object column (e.g. recorded weights) to one column per listed key, ``<prefix><key>``;
+    absent keys and unparsable text give NULL."""
+    m = F.from_json(F.col(column).cast("string"), f"map<string,{value_type}>")
+    return df.select(*[c for c in df.columns if c != column],
+                     *[F.element_at(m, F.lit(k)).alias(f"{prefix}{k}") for k in keys])

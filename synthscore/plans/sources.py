@@ -112,3 +112,43 @@ def k31_param_importance(spark, sf_dir):
     e = e.withColumn("param", F.regexp_replace("param", "^param_", ""))
     return e.select("dataset", "generator", "sampler", "seed", "param", F.round("eta2", 6).alias("eta2"),
                     F.round("importance", 6).alias("importance"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("a9_listed_study_trials", trial_sql(f"""
+select event_id, {K31_KEYS}, trial_number, state, round(objective, 9) as objective from scored
+where ({K31_KEYS}) in (select {K31_KEYS} from summary where best_objective > 0.6e0
+                       union all select {K31_KEYS} from summary where n_fail > 0)"""))
+def a9_listed_study_trials(spark, sf_dir):
+    """All trials of the studies listed in two (overlapping) summary exports."""
+    from .common import summaries
+    s = summaries(spark, sf_dir)
+    listed = s.where(F.col("best_objective") > 0.6).select(*S.TRIAL_KEYS).unionByName(
+        s.where(F.col("n_fail") > 0).select(*S.TRIAL_KEYS))
+    t = S.trials_of_listed_studies(listed, scored(spark, sf_dir))
+    return r9(t.select("event_id", *S.TRIAL_KEYS, "trial_number", "state", "objective"), "objective")
+
+
+@register("a11_import_new_studies", trial_sql(f"""
+select {K31_KEYS}, cast(count(*) as bigint) as n_trials, cast(count_if(state = 'COMPLETE') as bigint) as n_complete,
+       round(max(case when state = 'COMPLETE' then objective end), 9) as best_objective
+from scored s where sampler = 'standard_tpe'
+  and not exists (select 1 from summary e where e.sampler = 'standard_tpe' and e.seed <= 1
+                  and e.dataset = s.dataset and e.generator = s.generator and e.sampler = s.sampler and e.seed = s.seed)
+group by {K31_KEYS}"""))
+def a11_import_new_studies(spark, sf_dir):
+    """Import the standard_tpe tracker exports (A10), summarise, skip studies already present."""
+    from .common import summaries
+    w = _wide(spark, sf_dir).where(F.col("sampler") == "standard_tpe")
+    t = S.wide_to_trials(w, F.col("dataset"), F.col("generator"), F.col("sampler"), F.col("seed"))
+    existing = summaries(spark, sf_dir).where((F.col("sampler") == "standard_tpe") & (F.col("seed") <= 1))
+    return r9(S.import_new_studies(t, existing), "best_objective")
+
+
+@register("c13_expand_weights", trial_sql("""
+select event_id, fidelity as w_fidelity, utility as w_utility, privacy_risk as w_privacy_risk, cast(null as double) as w_missing
+from scored""", summary=False))
+def c13_expand_weights(spark, sf_dir):
+    """A JSON text column expanded to one column per key (absent key -> NULL)."""
+    from ..operators.clean import expand_json_map
+    s = scored(spark, sf_dir).select("event_id", F.to_json(F.struct("fidelity", "utility", "privacy_risk")).alias("weights"))
+    return expand_json_map(s, "weights", ["fidelity", "utility", "privacy_risk", "missing"], "w_")

@@ -161,3 +161,20 @@ def write_metadata(spark: SparkSession, meta: Mapping[str, object], path: str) -
     import json
     spark.createDataFrame([(json.dumps(dict(meta), sort_keys=True, default=str),)], "value string") \
         .coalesce(1).write.mode("overwrite").text(os.path.join(path, "_metadata_json"))
+
+
+# ------------------------------------------------------------------ A9 / A11
+def trials_of_listed_studies(listed: DataFrame, trials: DataFrame, keys: Sequence[str] = TRIAL_KEYS) -> DataFrame:
+    """Every trial of each study named in the summaries (duplicates in the list are harmless:
+    a left-semi join emits each trial at most once)."""
+    return trials.join(listed.select(*keys), list(keys), "left_semi")
+
+
+def import_new_studies(imported: DataFrame, existing: DataFrame, keys: Sequence[str] = TRIAL_KEYS) -> DataFrame:
+    """Summarise an imported trial set per study and keep studies not already present."""
+    st = F.col("state")
+    s = imported.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_trials"),
+        F.count_if(st == "COMPLETE").cast("bigint").alias("n_complete"),
+        F.max(F.when(st == "COMPLETE", F.col("objective"))).alias("best_objective"))
+    return s.join(existing.select(*keys), list(keys), "left_anti")
