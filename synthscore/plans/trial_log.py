@@ -509,3 +509,23 @@ def k34_failed_summary(spark, sf_dir):
     """A failed study still yields a summary row (status failed, error text)."""
     f = T.failed_study_rows(_grid(spark, sf_dir), _variant_summaries(spark, sf_dir))
     return f.select(*K, "status", "error", "n_attempted")
+
+
+# ---------------------------------------------------------------- K35
+@register("k35_pareto_front", trial_sql(f"""
+select p.event_id, p.{KEYS_SQL.replace(', ', ', p.')}, p.fidelity, p.utility, p.privacy_risk
+from scored p
+where p.state = 'COMPLETE' and p.fidelity is not null and p.utility is not null and p.privacy_risk is not null
+  and not isnan(p.fidelity)
+  and not exists (
+    select 1 from scored q
+    where q.state = 'COMPLETE' and q.fidelity is not null and q.utility is not null and q.privacy_risk is not null
+      and not isnan(q.fidelity)
+      and q.dataset = p.dataset and q.generator = p.generator and q.sampler = p.sampler and q.seed = p.seed
+      and q.fidelity >= p.fidelity and q.utility >= p.utility and q.privacy_risk <= p.privacy_risk
+      and (q.fidelity > p.fidelity or q.utility > p.utility or q.privacy_risk < p.privacy_risk))""", summary=False))
+def k35_pareto_front(spark, sf_dir):
+    """Non-dominated COMPLETE trials per study (F up, U up, P down); brute force in the oracle."""
+    from ..operators.pareto import skyline
+    s = scored(spark, sf_dir).where(F.col("state") == "COMPLETE")
+    return skyline(s, K, "event_id")
