@@ -136,3 +136,14 @@ from (select *, rank() over (order by score) + (count(*) over (partition by scor
 def j5_roc_auc(spark, sf_dir):
     """ROC AUC of fixed scores, ties averaged."""
     return r9(J.roc_auc(fx9_pred(spark, sf_dir), "y_true", "score"), "auc")
+
+
+@register("j4_membership_attack")
+def j4_membership_attack(spark, sf_dir):
+    """Membership-attack AUC of candidate 0 against the real half (random forest, 30 % holdout)."""
+    from ..operators.privacy import membership_attack_auc
+    from ..sources.fixtures import FX1_NUMERIC, fx1_real, fx1_synth
+    key = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rk")
+    real = fx1_real(spark, sf_dir).select(key, *FX1_NUMERIC)
+    synth = fx1_synth(spark, sf_dir).where(F.col("trial_id") == 0).select(key, *FX1_NUMERIC)
+    return membership_attack_auc(real, synth, FX1_NUMERIC, "rk", "rk")
