@@ -92,3 +92,13 @@ def g8_resize(spark, sf_dir):
 
 
 _ = r9
+
+
+@register("g3_gaussian_copula")
+def g3_gaussian_copula(spark, sf_dir):
+    """Gaussian copula fitted on the real numerics (normal-score correlation, normal marginals,
+    min/max enforced) and sampled to the real table's size."""
+    from ..operators.copula import fit_copula, sample_copula
+    real = fx1_real(spark, sf_dir).withColumn("rk", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    model = fit_copula(real, "rk", FX1_NUMERIC, family="norm")
+    return sample_copula(spark, model, real.count(), seed=42)
