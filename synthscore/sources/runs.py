@@ -178,3 +178,52 @@ def import_new_studies(imported: DataFrame, existing: DataFrame, keys: Sequence[
         F.count_if(st == "COMPLETE").cast("bigint").alias("n_complete"),
         F.max(F.when(st == "COMPLETE", F.col("objective"))).alias("best_objective"))
     return s.join(existing.select(*keys), list(keys), "left_anti")
+
+
+# ------------------------------------------------------------------ A5 / A6 / A12
+def read_study_summaries(spark: SparkSession, root: str, pattern: str, names: Sequence[str],
+                         glob: str = "*/*/*/*/summary.json") -> DataFrame:
+    """A5: every summary JSON under ``root`` (one object per file), with the study keys parsed
+    from the file path; files that do not parse are skipped (A6)."""
+    return with_keys_from_path(read_json_permissive(spark, os.path.join(root, glob)), pattern, names)
+
+
+def missing_cells(found: DataFrame, grid: DataFrame, keys: Sequence[str] = TRIAL_KEYS) -> DataFrame:
+    """A5: grid cells without a summary."""
+    return grid.select(*keys).join(found.select(*keys), list(keys), "left_anti")
+
+
+def read_json_permissive(spark: SparkSession, path: str, schema: str | None = None, multiline: bool = True) -> DataFrame:
+    """Read summaries, skipping unreadable files (DROPMALFORMED: a file that does not parse
+    yields no row; the others are read as usual), with the source file recorded."""
+    r = spark.read.option("mode", "DROPMALFORMED").option("multiLine", str(multiline).lower())
+    if schema:
+        r = r.schema(schema)
+    return r.json(path).withColumn("source_summary", F.col("_metadata.file_path"))
+
+
+# Classifier names in model-score files and their short aliases.
+CLASSIFIER_ALIASES = {"logistic_regression": "lr", "linear_regression": "lr", "random_forest": "rf",
+                      "decision_tree": "dt"}
+
+SCORE_BLOCK = ("map<string, struct<mean_tstr_accuracy: double, mean_trtr_accuracy: double, accuracy_gap: double, "
+               "per_clf_tstr_accuracy: map<string, double>, per_clf_trtr_accuracy: map<string, double>>>")
+
+
+def read_model_scores(spark: SparkSession, path: str, normalise=None) -> DataFrame:
+    """Model-score JSON files ({generator: {mean_*, accuracy_gap, per_clf_*: {classifier: v}}})
+    flattened to one row per generator with tstr / trtr / gap and tstr_<alias> / trtr_<alias>."""
+    raw = spark.read.option("wholetext", "true").text(path)
+    blocks = raw.select(F.explode(F.from_json("value", SCORE_BLOCK)).alias("name", "b"))
+    name = normalise(F.col("name")) if normalise else F.col("name")
+    cols = [name.alias("generator"), F.col("b.mean_tstr_accuracy").alias("tstr"),
+            F.col("b.mean_trtr_accuracy").alias("trtr"), F.col("b.accuracy_gap").alias("gap")]
+    for src, prefix in (("per_clf_tstr_accuracy", "tstr"), ("per_clf_trtr_accuracy", "trtr")):
+        for clf, alias in CLASSIFIER_ALIASES.items():
+            if clf == "linear_regression":
+                continue
+            v = F.element_at(F.col(f"b.{src}"), F.lit(clf))
+            if alias == "lr":
+                v = F.coalesce(v, F.element_at(F.col(f"b.{src}"), F.lit("linear_regression")))
+            cols.append(v.alias(f"{prefix}_{alias}"))
+    return blocks.where(F.col("b").isNotNull()).select(*cols)

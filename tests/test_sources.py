@@ -54,3 +54,35 @@ def test_master_log_append_and_ragged_csv(spark, tmp_path):
     csv.write_text(",".join(S.MASTER_COLUMNS) + "\nd0,g0,completed,0.5,10\n")
     r = S.read_master(spark, str(csv), "csv").collect()
     assert len(r) == 1 and r[0]["elapsed_sec"] == 10.0 and r[0]["error"] is None
+
+
+def test_summary_tree_missing_cells_and_corrupt_files(spark, tmp_path):
+    import json
+    s = summaries(spark, SF_SMALL).where((F.col("sampler") == "gp") & (F.col("seed") == 0))
+    rows = s.select("dataset", "generator", "sampler", "seed", "best_objective").collect()
+    for r in rows[:-1]:  # the last study has no summary file
+        d = tmp_path / "tree" / r["sampler"] / r["dataset"] / r["generator"] / f"seed{r['seed']}"
+        d.mkdir(parents=True)
+        (d / "summary.json").write_text(json.dumps({"best_objective": r["best_objective"], "status": "completed"}))
+    bad = tmp_path / "tree" / "gp" / "dx" / "g9" / "seed0"
+    bad.mkdir(parents=True)
+    (bad / "summary.json").write_text("{not json")
+    found = S.read_study_summaries(spark, str(tmp_path / "tree"), r"/([^/]+)/([^/]+)/([^/]+)/seed(\d+)/summary\.json$",
+                                   ["sampler", "dataset", "generator", "seed"])
+    found = found.withColumn("seed", F.col("seed").cast("bigint"))
+    miss = S.missing_cells(found, s)
+    assert [tuple(x) for x in miss.select("dataset", "generator").collect()] == [(rows[-1]["dataset"], rows[-1]["generator"])]
+    ok = S.read_json_permissive(spark, str(tmp_path / "tree" / "*" / "*" / "*" / "*" / "summary.json"))
+    assert ok.count() == len(rows) - 1
+
+
+def test_model_scores_flattened(spark, tmp_path):
+    import json
+    doc = {"Gaussian Copula": {"mean_tstr_accuracy": 0.7, "mean_trtr_accuracy": 0.8, "accuracy_gap": 0.1,
+                               "per_clf_tstr_accuracy": {"logistic_regression": 0.6, "random_forest": 0.8}},
+           "tvae": {"mean_tstr_accuracy": 0.5, "per_clf_trtr_accuracy": {"linear_regression": 0.9}}}
+    (tmp_path / "acc.json").write_text(json.dumps(doc))
+    from synthscore.functions.scalars import normalise_generator
+    got = {r["generator"]: r for r in S.read_model_scores(spark, str(tmp_path / "acc.json"), normalise_generator).collect()}
+    assert got["gaussian_copula"]["tstr_lr"] == 0.6 and got["gaussian_copula"]["tstr_rf"] == 0.8
+    assert got["gaussian_copula"]["tstr_dt"] is None and got["tvae"]["trtr_lr"] == 0.9 and got["tvae"]["gap"] is None
