@@ -129,3 +129,23 @@ def decode_codes(df: DataFrame, code_col: str, levels: DataFrame, out_col: str)
     n = F.size("_lv")
     idx = F.least(F.greatest(F.round(F.col(code_col).cast("double")).cast("int"), F.lit(0)), n - 1)
     return j.withColumn(out_col, F.element_at(F.col("_lv"), idx + 1)["level"]).drop("_lv")
+
+
+# ------------------------------------------------------------------ F6 / F7: model feature matrix
+def feature_matrix(df: DataFrame, train: DataFrame, id_cols: Sequence[str], numeric: Sequence[str],
+                   categorical: Sequence[str]) -> DataFrame:
+    """the model input as a sparse long matrix (id..., feature, value): numerics scaled with
+    the train mean / population std, categoricals one-hot over the train levels (``col=level``,
+    1.0; zeros are not stored, so an unseen level is an all-zero row).  Fitted on the train side
+    only (F7); the level table is one row per train level."""
+    ids = list(id_cols)
+    st = fit_scaler(train, numeric)
+    z = apply_scaler(df.select(*ids, *numeric), st, numeric)
+    num = melt(z, ids, numeric).select(*ids, F.col("col_name").alias("feature"), "value")
+    lv = fit_levels(train, categorical).select("col_name", "level")
+    long = df.select(*ids, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("col_name"), F.col(c).cast("string").alias("level")) for c in categorical])).alias("_x")
+    ).select(*ids, "_x.col_name", "_x.level")
+    cat = long.join(lv, ["col_name", "level"]).select(
+        *ids, F.concat_ws("=", "col_name", "level").alias("feature"), F.lit(1.0).alias("value"))
+    return num.unionByName(cat)

@@ -336,3 +336,26 @@ def f9_decode_codes(spark, sf_dir):
     x = enc.withColumn("_c", F.col(TARGET) + F.col(KEY) % 3 - 1)
     out = P.decode_codes(x, "_c", levels.where(F.col("col_name") == TARGET).select("level", "code"), "decoded")
     return out.select(KEY, "decoded")
+
+
+F6_NUM = ["nation", "acctbal", "constant_col"]
+F6_CAT = ["segment", "visits"]
+
+
+@register("f6_feature_matrix", fsql(
+    " union all ".join(
+        f"select id, split, '{c}' as feature, round((cast({c} as double) - m_{c}) / "
+        f"case when s_{c} = 0 or s_{c} is null then 1 else s_{c} end, 9) as value from imp, st"
+        for c in F6_NUM)
+    + " union all select i.id, i.split, 'segment=' || l.level, 1e0 from imp i join lvl l "
+      "on l.col_name = 'segment' and l.level = i.segment"
+    + " union all select i.id, i.split, 'visits=' || l.level, 1e0 from imp i join lvl l "
+      "on l.col_name = 'visits' and l.level = cast(i.visits as varchar)",
+    ("st", "select " + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in F6_NUM)
+     + " from imp where split = 'train'")))
+def f6_feature_matrix(spark, sf_dir):
+    """Train-fitted scaled numerics + one-hot categoricals as a sparse (id, feature, value) matrix."""
+    sp, train, test, enc, cont, fills = fitted(spark, sf_dir)
+    imp = P.apply_fills(sp, fills)
+    m = P.feature_matrix(imp, imp.where(F.col("split") == "train"), [KEY, "split"], F6_NUM, F6_CAT)
+    return r9(m, "value")
