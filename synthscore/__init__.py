@@ -10,4 +10,11 @@ Sub-packages:
 * ``streaming`` Structured Streaming status queries (S)
 """
 
+import sys
+
+from pyspark import cloudpickle
+
+# functions of this package travel to the executors by value: workers need no copy of it on their path
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __version__ = "0.1.0"
