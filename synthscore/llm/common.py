@@ -62,6 +62,9 @@ def lower_words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_TO_SPACE).split()
 
 
-def term_hashes(text: str) -> list[int]:
-    """32-bit hashes of the distinct words."""
-    return [zlib.crc32(w) for w in set(lower_words(text))]
+def term_hashes(text: str, prefixes: tuple[int, ...] = (4, 5)) -> list[int]:
+    """32-bit hashes of the distinct words and of the words' distinct beginnings (lengths in bytes),
+    which carry over to inflected and compound forms that a sample does not hold."""
+    words = set(lower_words(text))
+    starts = {b"^" + w[:n] for n in prefixes for w in words if len(w) > n}
+    return [zlib.crc32(w) for w in words | starts]

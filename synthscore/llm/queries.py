@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_frequency, url_rules
+from . import line_dedup, line_frequency, quality, topk, toxicity, url_rules
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -91,12 +91,77 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from s
 """
 
+def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector against all others."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+OP7_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from (select distinct vec_id, embedding from embeddings)
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+)
+select query_id, rank, vec_id, score
+from (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+where rank <= 20
+"""
+
+
+def op8_quality_gbdt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines that a smaller doc_id holds taken out."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+with l as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i
+  from documents
+), k as (
+  select *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l
+), o as (
+  select *, min(doc_id) over (partition by key) as owner from k
+), m as (
+  select *, length(key) >= 10 and owner <> doc_id as gone from o
+)
+select doc_id, count(*) as n_lines, cast(count_if(gone) as bigint) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from m group by doc_id
+"""
+
+
 QUERIES = {
+    "op1_toxicity_fm": op1_toxicity_fm,
     "op2_url_rules": op2_url_rules,
+    "op7_exact_topk": op7_exact_topk,
+    "op8_quality_gbdt": op8_quality_gbdt,
     "op9_line_frequency": op9_line_frequency,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op2_url_rules": OP2_SQL,
+    "op7_exact_topk": OP7_SQL,
     "op9_line_frequency": OP9_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
