@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,38 @@ def term_hashes(text: str, prefixes: tuple[int, ...] = (4, 5)) -> list[int]:
     words = set(lower_words(text))
     starts = {b"^" + w[:n] for n in prefixes for w in words if len(w) > n}
     return [zlib.crc32(w) for w in words | starts]
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash.  Only a memo: it is emptied when full, which bounds its memory."""
+
+    def __init__(self, limit: int = 400_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spread 64-bit values over all bits (xor-shift and multiply)."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def rolling(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all windows of ``k`` consecutive word hashes."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for j in range(k):
+        out = mixed(out + h[j:j + n])
+    return out

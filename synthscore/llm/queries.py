@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, line_frequency, quality, topk, toxicity, url_rules
+from . import licenses, line_dedup, line_frequency, packing, quality, topk, toxicity, url_rules
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -150,9 +150,27 @@ from m group by doc_id
 """
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=2048)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases, labels and score of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_url_rules": op2_url_rules,
+    "op3_pattern_packing": op3_pattern_packing,
+    "op5_license_scan": op5_license_scan,
     "op7_exact_topk": op7_exact_topk,
     "op8_quality_gbdt": op8_quality_gbdt,
     "op9_line_frequency": op9_line_frequency,
