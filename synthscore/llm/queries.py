@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, line_frequency, packing, quality, topk, toxicity, url_rules
+from . import jaccard, licenses, line_dedup, line_frequency, mixing, packing, quality, topk, toxicity, url_rules
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -161,6 +161,28 @@ def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=2048)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with a Jaccard similarity of 0.9 or more over 3-word shingles."""
+    return jaccard.similar_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+#: Share of the tokens that each domain gets.
+MIX_TARGETS = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the rows that ``labels`` covers: their language is the domain."""
+    ids = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("domain")).join(ids, "doc_id", "left_semi")
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership, rate and number of copies of every document under the target mix."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), domain_labels(spark, sf_dir), MIX_TARGETS)
+    return mixed.select(*[c for c in mixed.columns if c not in ("text_hash", "rows")],
+                        F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_row")).drop("_row")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases, labels and score of every document."""
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
@@ -170,7 +192,9 @@ QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_url_rules": op2_url_rules,
     "op3_pattern_packing": op3_pattern_packing,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_license_scan": op5_license_scan,
+    "op6_source_mixing": op6_source_mixing,
     "op7_exact_topk": op7_exact_topk,
     "op8_quality_gbdt": op8_quality_gbdt,
     "op9_line_frequency": op9_line_frequency,
