@@ -115,14 +115,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout:
     but for earlier n_lines and n_dropped.
     """
     keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    lost = dropped_lines(docs, min_chars, batches, fanout).select(F.col("id").alias("_id"), F.col("hashes").alias("_lost"))
-    rows = marked.join(lost, "_id", "left").select(*keep, "text", "_lost")
+    marked = docs.withColumn("__line_dedup_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+    lost = dropped_lines(docs, min_chars, batches, fanout).select(F.col("id").alias("__line_dedup_id"), F.col("hashes").alias("__line_dedup_lost"))
+    rows = marked.join(lost, "__line_dedup_id", "left").select(*keep, "text", "__line_dedup_lost")
 
     def cut(parts):
         for b in parts:
             texts, n_lines, n_dropped = [], [], []
-            for text, lost_here in zip(b.column("text").to_pylist(), b.column("_lost").to_pylist()):
+            for text, lost_here in zip(b.column("text").to_pylist(), b.column("__line_dedup_lost").to_pylist()):
                 lines = (text or "").split("\n")
                 kept = lines
                 if lost_here:

@@ -120,6 +120,6 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total_t
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """``docs``, every row repeated as often as ``mixed`` says."""
-    m = mixed.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("copies").alias("_copies"))
-    rows = docs.join(m, docs["doc_id"].cast("long").eqNullSafe(m["_d"]) & (F.xxhash64(docs["text"]) == m["_t"]))
-    return rows.where("_copies > 0").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_n")).drop("_n")
+    m = mixed.select(F.col("doc_id").alias("__mix_id"), F.col("text_hash").alias("__mix_text"), F.col("copies").alias("__mix_copies"))
+    rows = docs.join(m, docs["doc_id"].cast("long").eqNullSafe(m["__mix_id"]) & (F.xxhash64(docs["text"]) == m["__mix_text"]))
+    return rows.where("__mix_copies > 0").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))).alias("__mix_n")).drop("__mix_n")
