@@ -53,15 +53,16 @@ def rescore_seed(seed: Column, trial: Column) -> Column:
 
 
 # The duration text format "D days HH:MM:SS.ffffff" written by the trial tracker.
-_DURATION_RE = r"^\s*(-?\d+) days? (\d+):(\d+):(\d+(?:\.\d+)?)\s*$"
+# The day part is optional, and text may follow the seconds.
+_DURATION_RE = r"^\s*(?:(-?\d+) days?,?\s+)?(\d+):(\d+):(\d+(?:\.\d+)?)"
 
 
 def duration_to_seconds(c: Column) -> Column:
     """C11: interval text -> seconds; plain numbers pass through; anything else -> NULL."""
     s = F.trim(c.cast("string"))
-    matched = F.regexp_extract(s, _DURATION_RE, 1) != F.lit("")
+    matched = F.regexp_extract(s, _DURATION_RE, 4) != F.lit("")
     from_text = (
-        F.regexp_extract(s, _DURATION_RE, 1).try_cast("double") * 86400.0
+        F.coalesce(F.regexp_extract(s, _DURATION_RE, 1).try_cast("double"), F.lit(0.0)) * 86400.0
         + F.regexp_extract(s, _DURATION_RE, 2).try_cast("double") * 3600.0
         + F.regexp_extract(s, _DURATION_RE, 3).try_cast("double") * 60.0
         + F.regexp_extract(s, _DURATION_RE, 4).try_cast("double")

@@ -123,10 +123,17 @@ def mean_ranks(ranked: DataFrame, treat_col: str, group_cols: Sequence[str] = ()
     return ranked.groupBy(*group_cols, treat_col).agg(F.avg(rank_col).alias("average_rank"))
 
 
-def complete_only(df: DataFrame, block_col: str, treat_col: str, value_col: str, group_cols: Sequence[str] = ()):
-    """Drop incomplete blocks: a block must have a value for every treatment of its group."""
+def complete_only(df: DataFrame, block_col: str, treat_col: str, value_col: str, group_cols: Sequence[str] = (),
+                  treatments: Sequence[str] | None = None):
+    """Drop incomplete blocks: a block must have a value for every treatment.  With ``treatments``
+    given, a treatment without any row makes all blocks incomplete; without, the treatments of a
+    group are those that its rows name."""
     g = list(group_cols)
     ok = df.where(F.col(value_col).isNotNull())
+    if treatments is not None:
+        ok = ok.where(F.col(treat_col).isin(list(treatments)))
+        full = ok.groupBy(*g, block_col).agg(F.countDistinct(treat_col).alias("_kb")).where(F.col("_kb") == len(set(treatments)))
+        return ok.join(full.select(*g, block_col), [*g, block_col], "left_semi")
     k = ok.groupBy(*g).agg(F.countDistinct(treat_col).alias("_k")) if g else \
         ok.agg(F.countDistinct(treat_col).alias("_k"))
     per_block = ok.groupBy(*g, block_col).agg(F.countDistinct(treat_col).alias("_kb"))
@@ -135,10 +142,11 @@ def complete_only(df: DataFrame, block_col: str, treat_col: str, value_col: str,
 
 
 # ------------------------------------------------------------------ M5
-def friedman(df: DataFrame, block_col: str, treat_col: str, value_col: str, group_cols: Sequence[str] = ()):
+def friedman(df: DataFrame, block_col: str, treat_col: str, value_col: str, group_cols: Sequence[str] = (),
+             treatments: Sequence[str] | None = None):
     """M5: Friedman chi-square with tie correction, p-value, Kendall's W per group."""
     g = list(group_cols)
-    c = complete_only(df, block_col, treat_col, value_col, g)
+    c = complete_only(df, block_col, treat_col, value_col, g, treatments)
     r = average_ranks(c, block_col, value_col, g, descending=False)
     ties = (r.groupBy(*g, block_col, value_col).agg(F.count(F.lit(1)).alias("t"))
             .groupBy(*g).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("tie_sum")))

@@ -1,12 +1,12 @@
 """Run collection and report tables (inventory A7, N1-N4).
 
-A *run* is one finished study per (dataset, generator) with its artefacts:
+A *run* is one finished study per (dataset, sampler, seed, generator) with its artefacts:
 ``metrics`` (best-trial scores), ``completed`` (marker with the search's best
 value), ``params`` (best hyperparameters, long form: one row per parameter),
 ``timing`` and an optional recomputed utility block (``util``).  All tables are
 one row per run (or per run and parameter), so every join here is on a key that
-is unique on at least one side; the per-dataset windows rank a dataset's
-generators, a handful of rows.
+is unique on at least one side; the windows rank the generators of one
+(dataset, sampler, seed), a handful of rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import clip01
 
-RUN_KEYS = ["dataset", "generator"]
+REPORT_KEYS = ["dataset", "sampler", "seed"]
+RUN_KEYS = [*REPORT_KEYS, "generator"]
 
 # Objective weights used by the report ranking (search objective O1).
 REPORT_WEIGHTS = {"fidelity": 0.4, "utility": 0.4, "privacy_risk": 0.2}
@@ -51,7 +52,7 @@ def _gap_utility(tstr: Column, trtr: Column) -> Column:
 
 def report_rows(runs: DataFrame) -> DataFrame:
     """N1 (P-35): report utility is the recomputed block when it has both TSTR and TRTR,
-    else the search-time metrics; objective re-weighted; ranked per dataset, best first."""
+    else the search-time metrics; objective re-weighted; ranked per report, best first."""
     has_block = F.col("u_tstr").isNotNull() & F.col("u_trtr").isNotNull()
     tstr = F.when(has_block, F.col("u_tstr")).otherwise(F.col("mean_tstr"))
     trtr = F.when(has_block, F.col("u_trtr")).otherwise(F.col("mean_trtr"))
@@ -70,7 +71,7 @@ def report_rows(runs: DataFrame) -> DataFrame:
     r = r.withColumn("report_objective", F.lit(w["fidelity"]) * F.col("fidelity")
                      + F.lit(w["utility"]) * F.col("report_utility")
                      - F.lit(w["privacy_risk"]) * F.col("privacy_risk"))
-    order = Window.partitionBy("dataset").orderBy(F.col("report_objective").desc(), F.col("generator"))
+    order = Window.partitionBy(*REPORT_KEYS).orderBy(F.col("report_objective").desc(), F.col("generator"))
     return r.withColumn("rank", F.row_number().over(order).cast("bigint"))
 
 
@@ -83,10 +84,10 @@ def param_matrix(params_long: DataFrame, preferred: Sequence[str], others: Seque
 
 
 def headline_winners(rows: DataFrame) -> DataFrame:
-    """Per dataset the objective winner, top fidelity, top utility and lowest risk; a tie
+    """Per report the objective winner, top fidelity, top utility and lowest risk; a tie
     goes to the generator ranked first by the report objective."""
     first = -F.col("rank")
-    return rows.groupBy("dataset").agg(
+    return rows.groupBy(*REPORT_KEYS).agg(
         F.max_by("generator", F.struct("report_objective", first)).alias("winner"),
         F.max("report_objective").alias("winner_objective"),
         F.max_by("generator", F.struct("fidelity", first)).alias("top_fidelity"),
@@ -99,8 +100,8 @@ def headline_winners(rows: DataFrame) -> DataFrame:
 
 
 def missing_generators(runs: DataFrame, datasets: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """Expected generators without a reported run, per dataset (scaffold by explode of the
+    """Expected generators without a reported run, per report (scaffold by explode of the
     configured list, then anti-join on the run keys)."""
-    scaffold = datasets.select("dataset").distinct().withColumn(
+    scaffold = datasets.select(*REPORT_KEYS).distinct().withColumn(
         "generator", F.explode(F.array(*[F.lit(g) for g in expected])))
     return scaffold.join(runs.select(*RUN_KEYS), RUN_KEYS, "left_anti")

@@ -78,8 +78,9 @@ def balanced_subsample(df: DataFrame, key: str, target: str, max_samples: int, s
 
 
 def class_test_quotas(df: DataFrame, target: str, test_size: float) -> DataFrame:
-    """Largest-remainder allocation of ceil(test_size * n) test rows over classes (ties: class order)."""
-    c = df.groupBy(target).agg(F.count(F.lit(1)).alias("n_c"))
+    """Largest-remainder allocation of ceil(test_size * n) test rows over classes (ties: class order).
+    NULL targets are no class: they get no quota, so the test side is not short of rows."""
+    c = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n_c"))
     tot = c.agg(F.sum("n_c").alias("n"))
     c = c.crossJoin(tot).withColumn("n_test", F.ceil(F.lit(float(test_size)) * F.col("n")))
     c = c.withColumn("_exact", F.col("n_test") * F.col("n_c") / F.col("n")) \
@@ -91,8 +92,8 @@ def class_test_quotas(df: DataFrame, target: str, test_size: float) -> DataFrame
 
 
 def can_stratify(df: DataFrame, target: str) -> bool:
-    """P-7: at least two classes and every class with at least two rows (NULL counts as a class)."""
-    s = df.groupBy(target).count().agg(F.count(F.lit(1)).alias("k"), F.min("count").alias("m")).collect()[0]
+    """P-7: at least two classes and every class with at least two rows (NULL is no class)."""
+    s = df.where(F.col(target).isNotNull()).groupBy(target).count().agg(F.count(F.lit(1)).alias("k"), F.min("count").alias("m")).collect()[0]
     return bool(s["k"] > 1 and s["m"] >= 2)
 
 

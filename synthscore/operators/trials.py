@@ -115,11 +115,14 @@ def _pairs_frame(spark: SparkSession, pairs=PAIRS) -> DataFrame:
 
 
 def pairwise(runs: DataFrame, pairs=PAIRS) -> DataFrame:
-    """K7: challenger - baseline per seed, then mean dJ, wins, mean dtime, n per (dataset, generator, pair)."""
+    """K7: challenger - baseline per seed, then mean dJ, wins, mean dtime, n per (dataset, generator, pair).
+    Of several run rows of one sampler and seed the one with the best objective counts."""
     spark = runs.sparkSession
-    per_seed = runs.groupBy("dataset", "generator", "seed").agg(
-        F.map_from_entries(F.collect_list(F.struct("sampler", "best_objective"))).alias("_j"),
-        F.map_from_entries(F.collect_list(F.struct("sampler", "total_time_s"))).alias("_t"),
+    one = runs.groupBy("dataset", "generator", "seed", "sampler").agg(
+        F.max_by(F.struct("best_objective", "total_time_s"), F.struct(F.coalesce("best_objective", F.lit(float("-inf"))), "total_time_s")).alias("r"))
+    per_seed = one.groupBy("dataset", "generator", "seed").agg(
+        F.map_from_entries(F.collect_list(F.struct("sampler", "r.best_objective"))).alias("_j"),
+        F.map_from_entries(F.collect_list(F.struct("sampler", "r.total_time_s"))).alias("_t"),
     )  # one entry per sampler: bounded by the sampler count
     x = per_seed.crossJoin(F.broadcast(_pairs_frame(spark, pairs)))
     jc, jb = F.element_at("_j", F.col("challenger")), F.element_at("_j", F.col("baseline"))

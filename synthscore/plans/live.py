@@ -19,12 +19,11 @@ LIVE_TARGET_TRIALS = 150
 
 
 def _live_inputs(spark, sf_dir):
-    """Counts come from the log without the gp x d4 studies (never launched), the grid
-    from every (sampler, dataset, generator) cell the log knows, so those cells are missing."""
+    """Counts come from the whole log; the grid also has, per dataset, a generator that was never
+    launched (missing)."""
     s = scored(spark, sf_dir)
-    grid = s.select(*LV.LIVE_KEYS).distinct()
-    partial = s.where(~((F.col("sampler") == "gp") & (F.col("dataset") == "d4")))
-    return partial, grid
+    never = s.select(F.lit("gp").alias("sampler"), "dataset", F.lit("g9").alias("generator"))
+    return s, s.select("sampler", "dataset", "generator").unionByName(never).distinct()
 
 
 @register("s1_live_status", trial_sql(f"""
@@ -37,7 +36,8 @@ select g.sampler, g.dataset, g.generator,
             when c.n_complete >= {LIVE_TARGET_TRIALS} then 'completed'
             when c.n_fail = c.n_attempted then 'failed'
             else 'started' end as status
-from (select distinct sampler, dataset, generator from scored) g
+from (select distinct sampler, dataset, generator from scored
+      union select distinct 'gp', dataset, 'g9' from scored) g
 left join (select sampler, dataset, generator,
                   cast(count_if(state = 'COMPLETE') as bigint) as n_complete,
                   cast(count_if(state = 'RUNNING') as bigint) as n_running,
@@ -45,13 +45,13 @@ left join (select sampler, dataset, generator,
                   cast(count_if(state = 'PRUNED') as bigint) as n_pruned,
                   cast(count(*) as bigint) as n_attempted,
                   max(case when state = 'COMPLETE' then objective end) as best_objective
-           from scored where not (sampler = 'gp' and dataset = 'd4')
+           from scored
            group by sampler, dataset, generator) c
   on g.sampler = c.sampler and g.dataset = c.dataset and g.generator = c.generator""", summary=False))
 def s1_live_status(spark, sf_dir):
     """Live status per (sampler, dataset, generator) with a missing-cell scaffold."""
-    partial, grid = _live_inputs(spark, sf_dir)
-    return r9(LV.live_status(LV.live_counts(partial), grid, LIVE_TARGET_TRIALS), "best_objective")
+    log, grid = _live_inputs(spark, sf_dir)
+    return r9(LV.live_status(LV.live_counts(log), grid, LIVE_TARGET_TRIALS), "best_objective")
 
 
 @register("s3_hourly_throughput", trial_sql("""

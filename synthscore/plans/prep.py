@@ -35,12 +35,13 @@ def roles(spark, sf_dir):
 
 
 def balanced(spark, sf_dir):
-    # the sample is bounded by max_samples: cut its lineage (reliable checkpoint) before reuse
-    return cut_lineage(E.balanced_subsample(cleaned(spark, sf_dir), KEY, TARGET, CFG["max_samples"], SEED_SAMPLE))
+    """E2; the cap is its feature, no other query goes through it."""
+    return E.balanced_subsample(cleaned(spark, sf_dir), KEY, TARGET, CFG["max_samples"], SEED_SAMPLE)
 
 
 def split(spark, sf_dir):
-    return cut_lineage(E.train_test_split(balanced(spark, sf_dir), KEY, TARGET, CFG["test_size"], SEED_SPLIT))
+    """The whole cleaned table, split once: fills, levels and scalers are all fitted on it."""
+    return cut_lineage(E.train_test_split(cleaned(spark, sf_dir), KEY, TARGET, CFG["test_size"], SEED_SPLIT))
 
 
 def encode_sets(spark, sf_dir):
@@ -113,7 +114,7 @@ select s.*, case when s.id in (select id from rk join tq using (target) where rn
 from {src} s"""
 
 
-SP_CTE = ("sp", _split_sql("bal", CFG["test_size"], SEED_SPLIT))
+SP_CTE = ("sp", _split_sql("cl", CFG["test_size"], SEED_SPLIT))
 
 
 def psql(body, *extra):
@@ -188,7 +189,7 @@ from (select col_name, level, min(k) as k, bool_or(first_kind) as first_kind, mi
 where first_kind or col_name in (select col_name from (
         select 'nation' as col_name, count(distinct nation) as n from tr union all
         select 'constant_col', count(distinct constant_col) from tr) where n <= 20)""",
-    BAL_CTE, SP_CTE, ("tr", "select * from sp where split = 'train'")))
+    SP_CTE, ("tr", "select * from sp where split = 'train'")))
 def d5_discrete_levels(spark, sf_dir):
     """Allowed levels of the discrete columns of the train split."""
     sp = split(spark, sf_dir)
@@ -211,7 +212,7 @@ def e2_balanced_subsample(spark, sf_dir):
     return balanced(spark, sf_dir).select(KEY, TARGET)
 
 
-@register("e4_train_test_split", psql("select id, target, split from sp", BAL_CTE, SP_CTE))
+@register("e4_train_test_split", psql("select id, target, split from sp", SP_CTE))
 def e4_train_test_split(spark, sf_dir):
     """Stratified train / test split (largest-remainder quotas, hash order inside classes)."""
     return split(spark, sf_dir).select(KEY, TARGET, "split")
@@ -220,11 +221,11 @@ def e4_train_test_split(spark, sf_dir):
 @register("e5_train_val_test", psql(f"""
 select id, target, split from s1 where split = 'train'
 union all select id, target, case when split = 'test' then 'test' else 'val' end from s2""",
-    BAL_CTE, ("s1", _split_sql("bal", 0.2, "42t")),
+    ("s1", _split_sql("cl", 0.2, "42t")),
     ("hold", "select * exclude (split) from s1 where split = 'test'"), ("s2", _split_sql("hold", 0.5, "42tv"))))
 def e5_train_val_test(spark, sf_dir):
     """E5: 80 / 10 / 10 split, stratified in both steps."""
-    return E.train_val_test_split(balanced(spark, sf_dir), KEY, TARGET, "42t").select(KEY, TARGET, "split")
+    return E.train_val_test_split(cleaned(spark, sf_dir), KEY, TARGET, "42t").select(KEY, TARGET, "split")
 
 
 # ---------------------------------------------------------------- F
@@ -248,7 +249,7 @@ select 'constant_col', cast(coalesce(median(constant_col), 0) as varchar) from t
 @register("f1_fill_values", psql("select col_name, round(cast(fill_str as double), 9) as fill_num from fills "
                                  "where col_name in ('nation', 'acctbal', 'constant_col', 'visits') "
                                  "union all select col_name, null from fills where col_name in ('segment', 'target')",
-                                 BAL_CTE, SP_CTE, TR_CTE, FILL_CTE).replace(
+                                 SP_CTE, TR_CTE, FILL_CTE).replace(
     "union all select col_name, null from fills where col_name in ('segment', 'target')", "") )
 def f1_fill_values(spark, sf_dir):
     """fitted fill values (mode for discrete, exact median for continuous), numeric ones."""
@@ -258,7 +259,7 @@ def f1_fill_values(spark, sf_dir):
 
 
 @register("f1_fill_labels", psql("select col_name, fill_str from fills where col_name in ('segment', 'target')",
-                                 BAL_CTE, SP_CTE, TR_CTE, FILL_CTE))
+                                 SP_CTE, TR_CTE, FILL_CTE))
 def f1_fill_labels(spark, sf_dir):
     """fitted fill values of the string columns (smallest of tied modes)."""
     _, _, _, _, _, fills = fitted(spark, sf_dir)
@@ -285,7 +286,7 @@ left join lvl c on c.col_name = 'target' and c.level = i.target""")
 
 
 def fsql(body, *extra):
-    return psql(body, BAL_CTE, SP_CTE, TR_CTE, FILL_CTE, IMP_CTE, LV_CTE, ENC_CTE, *extra)
+    return psql(body, SP_CTE, TR_CTE, FILL_CTE, IMP_CTE, LV_CTE, ENC_CTE, *extra)
 
 
 @register("f3_level_codes", fsql("select col_name, level, code from lvl"))

@@ -131,16 +131,15 @@ def a9_listed_study_trials(spark, sf_dir):
 @register("a11_import_new_studies", trial_sql(f"""
 select {K31_KEYS}, cast(count(*) as bigint) as n_trials, cast(count_if(state = 'COMPLETE') as bigint) as n_complete,
        round(max(case when state = 'COMPLETE' then objective end), 9) as best_objective
-from scored s where sampler = 'standard_tpe'
-  and not exists (select 1 from summary e where e.sampler = 'standard_tpe' and e.seed <= 1
+from scored s
+where not exists (select 1 from summary e where e.seed <= 1
                   and e.dataset = s.dataset and e.generator = s.generator and e.sampler = s.sampler and e.seed = s.seed)
 group by {K31_KEYS}"""))
 def a11_import_new_studies(spark, sf_dir):
-    """Import the standard_tpe tracker exports (A10), summarise, skip studies already present."""
+    """Import the tracker exports (A10), summarise, skip studies already present (here: seeds 0 and 1)."""
     from .common import summaries
-    w = _wide(spark, sf_dir).where(F.col("sampler") == "standard_tpe")
-    t = S.wide_to_trials(w, F.col("dataset"), F.col("generator"), F.col("sampler"), F.col("seed"))
-    existing = summaries(spark, sf_dir).where((F.col("sampler") == "standard_tpe") & (F.col("seed") <= 1))
+    t = S.wide_to_trials(_wide(spark, sf_dir), F.col("dataset"), F.col("generator"), F.col("sampler"), F.col("seed"))
+    existing = summaries(spark, sf_dir).where(F.col("seed") <= 1)
     return r9(S.import_new_studies(t, existing), "best_objective")
 
 

@@ -142,7 +142,7 @@ select n_blocks, n_treatments, round(chi2, 9) as chi2, df, round(p_value, 9) as
 from fried""", ASC_CTE, FRIEDMAN_CTE))
 def m5_friedman(spark, sf_dir):
     """M5: Friedman chi-square (tie corrected), p-value and Kendall's W over complete datasets."""
-    f = M.friedman(dataset_df(spark, sf_dir), "dataset", "sampler", "mean_best_j")
+    f = M.friedman(dataset_df(spark, sf_dir), "dataset", "sampler", "mean_best_j", treatments=SAMPLER_ORDER)
     return r9(f, "chi2", "p_value", "kendalls_w")
 
 
@@ -220,7 +220,7 @@ select n_treatments, n_blocks,
 from fried""", ASC_CTE, FRIEDMAN_CTE))
 def m9_nemenyi(spark, sf_dir):
     """M9: Nemenyi critical difference for the Friedman design."""
-    f = M.friedman(dataset_df(spark, sf_dir), "dataset", "sampler", "mean_best_j")
+    f = M.friedman(dataset_df(spark, sf_dir), "dataset", "sampler", "mean_best_j", treatments=SAMPLER_ORDER)
     cd = M.nemenyi_cd(F.col("n_treatments").cast("double"), F.col("n_blocks").cast("double"))
     return r9(f.select("n_treatments", "n_blocks", cd.alias("critical_difference")), "critical_difference")
 

@@ -91,7 +91,6 @@ def g8_resize(spark, sf_dir):
     return r.groupBy("trial_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-_ = r9
 
 
 @register("g3_gaussian_copula")

@@ -14,17 +14,16 @@ from .registry import register
 K = T.STUDY_KEYS
 
 
-def _variant_scored(spark, sf_dir):
-    """FX-4 variant with an incomplete block: gp / seed 3 / d4 trials are absent."""
-    s = scored(spark, sf_dir)
-    return s.where(~((F.col("sampler") == "gp") & (F.col("seed") == 3) & (F.col("dataset") == "d4")))
-
-
-VARIANT_CTE = ("vscored", "select * from scored where not (sampler = 'gp' and seed = 3 and dataset = 'd4')")
-VSUMMARY_CTE = ("vsummary", "select * from summary where not (sampler = 'gp' and seed = 3 and dataset = 'd4')")
+# every study is kept; where the best trial's number is a multiple of 3 the study counts as unfinished
+VSUMMARY_CTE = ("vsummary", """
+select * replace (case when best_trial_number % 3 = 0 then null else best_objective end as best_objective,
+                  case when best_trial_number % 3 = 0 then 'empty' else status end as status) from summary""")
 GRID_CTE = ("grid", f"""select d.dataset, g.generator, s.sampler, e.seed
   from (select distinct dataset from fx4_trials) d, (select distinct generator from fx4_trials) g,
        (select distinct sampler from fx4_trials) s, (select distinct seed from fx4_trials) e""")
+# the expected grid has a generator that was never run
+XGRID_CTE = ("xgrid", """select * from grid
+  union all select dataset, 'g9', 'gp', cast(3 as bigint) from (select distinct dataset from fx4_trials)""")
 ORDER_CTE = ("sorder", "select 'standard_tpe' as sampler, 1 as s_order union all select 'multivariate_tpe', 2 "
                        "union all select 'gp', 3")
 
@@ -141,8 +140,8 @@ def k7_pairwise(spark, sf_dir):
 
 BLOCK_CTE = ("blk", """
 select sc.dataset, sc.generator,
-       count_if(coalesce(c.n_ok, 0) < 4) as n_bad,
-       string_agg(case when coalesce(c.n_ok, 0) < 4 then sc.sampler || ':' || cast(coalesce(c.n_ok, 0) as varchar) || '/4' end,
+       count_if(coalesce(c.n_ok, 0) < 2) as n_bad,
+       string_agg(case when coalesce(c.n_ok, 0) < 2 then sc.sampler || ':' || cast(coalesce(c.n_ok, 0) as varchar) || '/2' end,
                   '; ' order by sc.s_order) as reason,
        max(case when sc.sampler = 'standard_tpe' then c.j_mean end) as j_standard_tpe,
        max(case when sc.sampler = 'multivariate_tpe' then c.j_mean end) as j_multivariate_tpe,
@@ -156,15 +155,18 @@ group by sc.dataset, sc.generator""")
 
 
 def _variant_summaries(spark, sf_dir):
-    return T.study_summary(_variant_scored(spark, sf_dir))
+    open_ = F.col("best_trial_number") % 3 == 0
+    return summaries(spark, sf_dir).withColumns({
+        "best_objective": F.when(open_, F.lit(None).cast("double")).otherwise(F.col("best_objective")),
+        "status": F.when(open_, F.lit("empty")).otherwise(F.col("status"))})
 
 
 @register("k8_complete_blocks", trial_sql("""
 select dataset, generator, round(j_standard_tpe, 9) as j_standard_tpe, round(j_multivariate_tpe, 9) as j_multivariate_tpe,
        round(j_gp, 9) as j_gp from blk where n_bad = 0""", VSUMMARY_CTE, ORDER_CTE, BLOCK_CTE))
 def k8_complete_blocks(spark, sf_dir):
-    """K8: (dataset, generator) blocks where every sampler finished all 4 seeds."""
-    blocks, _ = T.complete_blocks(_variant_summaries(spark, sf_dir), n_seeds=4)
+    """K8: (dataset, generator) blocks where every sampler finished at least 2 seeds."""
+    blocks, _ = T.complete_blocks(_variant_summaries(spark, sf_dir), n_seeds=2)
     return r9(blocks, "j_standard_tpe", "j_multivariate_tpe", "j_gp")
 
 
@@ -172,7 +174,7 @@ def k8_complete_blocks(spark, sf_dir):
                                          VSUMMARY_CTE, ORDER_CTE, BLOCK_CTE))
 def k8_dropped_blocks(spark, sf_dir):
     """K8: incomplete blocks with the reason text."""
-    _, dropped = T.complete_blocks(_variant_summaries(spark, sf_dir), n_seeds=4)
+    _, dropped = T.complete_blocks(_variant_summaries(spark, sf_dir), n_seeds=2)
     return dropped
 
 
@@ -341,16 +343,23 @@ def _grid(spark, sf_dir):
     return T.study_grid(fx4_trials(spark, sf_dir))
 
 
+def _expected_grid(spark, sf_dir):
+    """The job grid and, per dataset, a study of a generator that was never run."""
+    extra = fx4_trials(spark, sf_dir).select("dataset").distinct().select(
+        "dataset", F.lit("g9").alias("generator"), F.lit("gp").alias("sampler"), F.lit(3).cast("bigint").alias("seed"))
+    return _grid(spark, sf_dir).select(*K).unionByName(extra)
+
+
 @register("k19_study_inventory", trial_sql(f"""
 select g.dataset, g.generator, g.sampler, g.seed, coalesce(a.n_trials, 0) as n_trials,
        coalesce(a.n_complete, 0) as n_complete, round(a.best_objective, 9) as best_objective
-from grid g
+from xgrid g
 left join (select {KEYS_SQL}, count(*) as n_trials, count_if(state = 'COMPLETE') as n_complete,
                   max(case when state = 'COMPLETE' then objective end) as best_objective
-           from vscored group by {KEYS_SQL}) a using ({KEYS_SQL})""", GRID_CTE, VARIANT_CTE, summary=False))
+           from scored group by {KEYS_SQL}) a using ({KEYS_SQL})""", GRID_CTE, XGRID_CTE, summary=False))
 def k19_study_inventory(spark, sf_dir):
     """Study inventory with zero rows for absent studies."""
-    inv = T.study_inventory(_variant_scored(spark, sf_dir), _grid(spark, sf_dir))
+    inv = T.study_inventory(scored(spark, sf_dir), _expected_grid(spark, sf_dir))
     return r9(inv.drop("best_json"), "best_objective")
 
 
@@ -375,13 +384,13 @@ WORK_TARGET = 36
 @register("k22_work_left", trial_sql(f"""
 select g.dataset, g.generator, g.sampler, g.seed, coalesce(s.n_attempted, 0) as n_attempted,
        greatest(0, {WORK_TARGET} - coalesce(s.n_attempted, 0)) as remaining
-from grid g left join vsummary s using ({KEYS_SQL})
+from xgrid g left join vsummary s using ({KEYS_SQL})
 where not exists (select 1 from vsummary d where d.n_complete >= {WORK_TARGET} and d.dataset = g.dataset
                   and d.generator = g.generator and d.sampler = g.sampler and d.seed = g.seed)""",
-    GRID_CTE, VSUMMARY_CTE))
+    GRID_CTE, XGRID_CTE, VSUMMARY_CTE))
 def k22_work_left(spark, sf_dir):
     """Studies still to run and trials remaining (max(0, target - attempted))."""
-    w = T.work_left(_grid(spark, sf_dir), _variant_summaries(spark, sf_dir), WORK_TARGET)
+    w = T.work_left(_expected_grid(spark, sf_dir), _variant_summaries(spark, sf_dir), WORK_TARGET)
     return w.withColumn("remaining", F.col("remaining").cast("bigint"))
 
 
@@ -433,18 +442,18 @@ def k25_rescore_queue(spark, sf_dir):
 @register("k27_validation", trial_sql(f"""
 select (select count(*) from runs) as n_loaded,
        (select count_if(best_objective is null) from runs) as n_null_best,
-       (select count(*) from grid) as n_expected,
-       (select count(*) from grid g where not exists (select 1 from runs r where r.dataset = g.dataset
+       (select count(*) from xgrid) as n_expected,
+       (select count(*) from xgrid g where not exists (select 1 from runs r where r.dataset = g.dataset
           and r.generator = g.generator and r.sampler = g.sampler and r.seed = g.seed)) as n_missing,
        (select count(*) from (select {KEYS_SQL} from runs group by {KEYS_SQL} having count(*) > 1) d) as n_duplicate_keys""",
-    GRID_CTE, VSUMMARY_CTE,
+    GRID_CTE, XGRID_CTE, VSUMMARY_CTE,
     ("runs", f"select {KEYS_SQL}, best_objective from vsummary union all "
              f"select {KEYS_SQL}, best_objective from vsummary where dataset = 'd0' and generator = 'g0'")))
 def k27_validation(spark, sf_dir):
     """Validation notes (loaded vs expected, NULL best, missing cells, duplicate keys)."""
     vs = _variant_summaries(spark, sf_dir).select(*K, "best_objective")
     runs = vs.unionByName(vs.where((F.col("dataset") == "d0") & (F.col("generator") == "g0")))
-    return T.validation_notes(runs, _grid(spark, sf_dir))
+    return T.validation_notes(runs, _expected_grid(spark, sf_dir))
 
 
 @register("k28_unknown_keys", trial_sql("""
@@ -462,11 +471,10 @@ select sampler, count_if(status = 'completed') as n_completed, count_if(status =
        count_if(status in ('failed', 'empty')) as n_failed, count(*) as n_runs
 from (select *, row_number() over (partition by {KEYS_SQL} order by
       case status when 'completed' then 0 when 'skipped_resume' then 1 when 'partial' then 2 when 'failed' then 3 else 9 end,
-      src) as rn from mixed where not (seed = 3 and src = 1)) where rn = 1 group by sampler""", MIXED_CTE))
+      src) as rn from mixed) where rn = 1 group by sampler""", MIXED_CTE))
 def k29_runs_counters(spark, sf_dir):
     """Completed / skipped / failed counters per sampler after run de-duplication."""
-    runs = _mixed_runs(spark, sf_dir).where(~((F.col("seed") == 3) & (F.col("src") == 1)))
-    return T.runs_counters(T.dedupe_runs(runs, order_col="src"))
+    return T.runs_counters(T.dedupe_runs(_mixed_runs(spark, sf_dir), order_col="src"))
 
 
 STUCK_CUTOFF = "2024-01-29 00:00:00"
@@ -491,23 +499,23 @@ def k32_close_stuck(spark, sf_dir):
 
 @register("k33_unfinished", trial_sql(f"""
 select g.dataset, g.generator, g.sampler, g.seed, o.s_order as sampler_rank
-from grid g join sorder o using (sampler)
+from xgrid g join sorder o using (sampler)
 where not exists (select 1 from vsummary s where s.status = 'completed' and s.dataset = g.dataset
                   and s.generator = g.generator and s.sampler = g.sampler and s.seed = g.seed)""",
-    GRID_CTE, VSUMMARY_CTE, ORDER_CTE))
+    GRID_CTE, XGRID_CTE, VSUMMARY_CTE, ORDER_CTE))
 def k33_unfinished(spark, sf_dir):
     """Unfinished studies in sampler order."""
-    u = T.unfinished(_grid(spark, sf_dir), _variant_summaries(spark, sf_dir))
+    u = T.unfinished(_expected_grid(spark, sf_dir), _variant_summaries(spark, sf_dir))
     return u.withColumn("sampler_rank", F.col("sampler_rank").cast("int"))
 
 
 @register("k34_failed_summary", trial_sql(f"""
 select g.dataset, g.generator, g.sampler, g.seed, coalesce(s.status, 'failed') as status,
        case when s.status is null then 'no summary written' end as error, s.n_attempted
-from grid g left join vsummary s using ({KEYS_SQL})""", GRID_CTE, VSUMMARY_CTE))
+from xgrid g left join vsummary s using ({KEYS_SQL})""", GRID_CTE, XGRID_CTE, VSUMMARY_CTE))
 def k34_failed_summary(spark, sf_dir):
     """A failed study still yields a summary row (status failed, error text)."""
-    f = T.failed_study_rows(_grid(spark, sf_dir), _variant_summaries(spark, sf_dir))
+    f = T.failed_study_rows(_expected_grid(spark, sf_dir), _variant_summaries(spark, sf_dir))
     return f.select(*K, "status", "error", "n_attempted")
 
 

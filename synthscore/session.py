@@ -40,21 +40,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is configured by the deployment (a shared file
-    system every executor can reach).  Only when it is unset — local tests —
-    a private scratch folder is created.
+    system every executor can reach); where it is missing there, this raises,
+    as a machine-local folder would lose data.  With a local master (tests) a
+    private scratch folder is made.
     """
-    current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="synthscore-ckpt-")
-    spark.sparkContext.setCheckpointDir(conf)
-    return spark.sparkContext.getCheckpointDir() or conf
+    sc.setCheckpointDir(conf)
+    return sc.getCheckpointDir() or conf
 
 
 def cut_lineage(df, spark: SparkSession | None = None):
-    """Reliable checkpoint (survives executor loss); never ``localCheckpoint``."""
+    """Reliable checkpoint in the shared folder (survives executor loss)."""
     spark = spark or df.sparkSession
     ensure_checkpoint_dir(spark)
     return df.checkpoint(eager=True)

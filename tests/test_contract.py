@@ -1,6 +1,9 @@
 """Driver contract: entry runs, every query has a name-matched oracle or is rows-only."""
 
+import pytest
+
 import __spark_entry__ as E
+from synthscore.plans import all_queries
 
 from .conftest import SF_SMALL
 
@@ -16,8 +19,9 @@ def test_registry_names():
     assert q and set(s) <= set(q)
 
 
-def test_every_query_runs_small(spark):
-    for name, fn in E.queries().items():
-        df = fn(spark, SF_SMALL)
-        assert df.columns, name
-        df.limit(1).collect()
+# the training-data queries have their own tests
+@pytest.mark.parametrize("name", sorted(all_queries()))
+def test_query_runs_small(spark, name):
+    df = all_queries()[name](spark, SF_SMALL)
+    assert df.columns
+    df.limit(1).collect()
