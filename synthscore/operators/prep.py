@@ -131,6 +131,23 @@ def decode_codes(df: DataFrame, code_col: str, levels: DataFrame, out_col: str)
     return j.withColumn(out_col, F.element_at(F.col("_lv"), idx + 1)["level"]).drop("_lv")
 
 
+def assemble_decoded(df: DataFrame, id_cols: Sequence[str], template: Sequence[tuple[str, str]], numeric: Sequence[str],
+                     categorical: Sequence[str], levels: DataFrame, numeric_col: str = "numeric",
+                     codes_col: str = "codes") -> DataFrame:
+    """an array of numeric values and an array of category codes (class target included) back to
+    named columns in the order and types of ``template`` (name, type).  Codes are clipped to the
+    valid range and decoded by a join with the level table, one join per categorical column."""
+    out = df.select(*id_cols, *[F.get(numeric_col, F.lit(i)).alias(f"_n_{c}") for i, c in enumerate(numeric)],
+                    *[F.get(codes_col, F.lit(i)).cast("bigint").alias(f"_c_{c}") for i, c in enumerate(categorical)])
+    for c in categorical:
+        lv = levels.where(F.col("col_name") == c).select(F.col("code").alias(f"_k_{c}"), F.col("level").alias(f"_l_{c}"))
+        top = lv.agg(F.max(f"_k_{c}").alias(f"_m_{c}"))
+        out = out.crossJoin(F.broadcast(top)).withColumn(f"_c_{c}", F.least(F.greatest(F.col(f"_c_{c}"), F.lit(0)), F.col(f"_m_{c}")))
+        out = out.join(lv, F.col(f"_c_{c}") == F.col(f"_k_{c}"), "left")
+    pick = {c: F.col(f"_n_{c}") for c in numeric} | {c: F.col(f"_l_{c}") for c in categorical}
+    return out.select(*id_cols, *[pick[c].try_cast(t).alias(c) for c, t in template])
+
+
 # ------------------------------------------------------------------ F6 / F7: model feature matrix
 def feature_matrix(df: DataFrame, train: DataFrame, id_cols: Sequence[str], numeric: Sequence[str],
                    categorical: Sequence[str]) -> DataFrame:

@@ -81,6 +81,19 @@ def infer_roles(profile: DataFrame, cfg: Mapping, target: str | None) -> DataFra
     return p.select("col_name", role.alias("role"), "n_unique", "integer_like")
 
 
+def override_roles(roles: DataFrame, categorical: Sequence[str] = (), target: str | None = None,
+                   task: str = "classification") -> DataFrame:
+    """Role metadata for a generator — listed columns and a class target are categorical, whatever
+    was inferred; a target without a row gets one."""
+    forced = list(categorical) + ([target] if target and task == "classification" else [])
+    out = roles.select("col_name", F.when(F.col("col_name").isin(forced), F.lit("categorical")).otherwise(F.col("role")).alias("role"))
+    if target:
+        own = roles.sparkSession.range(1).select(F.lit(target).alias("col_name"), F.lit(
+            "categorical" if task == "classification" else "numeric").alias("role"))
+        out = out.unionByName(own.join(roles, "col_name", "left_anti"))
+    return out
+
+
 def spec_from_roles(key: str, roles_rows, target: str | None, task: str, n_rows: int = 0) -> DatasetSpec:
     """The spec held by the driver (one row per column — schema-sized)."""
     rows = list(roles_rows)

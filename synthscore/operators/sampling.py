@@ -50,6 +50,17 @@ def top_n_per_group(df: DataFrame, group_cols: Sequence[str], quotas: DataFrame
     return taken_full.unionByName(taken_edge).drop("_h", "_p")
 
 
+def shuffled_position(df: DataFrame, key: str, seed, prefix_len: int = PREFIX_LEN, out_col: str = "position") -> DataFrame:
+    """Deterministic shuffle — every row with its place (from 0) in (md5 key, key) order.  Places
+    come from counts per hash prefix, so no task sorts the whole table."""
+    d = df.withColumn("_h", hash_key(seed, key)).withColumn("_p", F.substring("_h", 1, prefix_len))
+    before = d.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(
+        F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    within = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)) - 1
+    return d.withColumn("_in", within).join(before, "_p").withColumn(out_col, (F.col("_before") + F.col("_in")).cast("bigint")) \
+            .drop("_h", "_p", "_in", "_before")
+
+
 def uniform_cap(df: DataFrame, key: str, max_samples: int, seed=42) -> DataFrame:
     """At most ``max_samples`` rows (first in hash order); no-op when the cap is <= 0."""
     if max_samples is None or int(max_samples) <= 0:

@@ -207,7 +207,8 @@ def convergence_band(curves: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ K12 / K13 / K17
 def study_cost(scored: DataFrame, keys: Sequence[str] = STUDY_KEYS) -> DataFrame:
-    """K12 / P-33: state counts, best trial, mean / median / sum seconds of _complete() trials, error count."""
+    """K12 / P-33: state counts, best trial, mean / median / sum seconds of _complete() trials, error
+    count, the error list (trial, state) and the running-best list (trials that improved the best)."""
     base = scored.groupBy(*keys).agg(
         F.count_if(_complete()).alias("n_complete"),
         F.count_if(F.col("state") == "FAIL").alias("n_fail"),
@@ -219,7 +220,13 @@ def study_cost(scored: DataFrame, keys: Sequence[str] = STUDY_KEYS) -> DataFrame
         F.avg(F.when(_complete(), F.col("duration_s"))).alias("mean_complete_s"),
         F.sum(F.when(_complete(), F.col("duration_s"))).alias("sum_complete_s"),
         F.count_if(F.col("state").isin("FAIL", "PRUNED")).alias("n_errors"),
+        F.array_sort(F.collect_list(F.when(F.col("state").isin("FAIL", "PRUNED"), F.struct("trial_number", "state")))).alias("errors"),
     )
+    curve = running_best(scored, keys)
+    w = Window.partitionBy(*keys).orderBy("trial_number")
+    better = curve.withColumn("_p", F.lag("best_so_far").over(w)).where(F.col("_p").isNull() | (F.col("best_so_far") > F.col("_p")))
+    best = better.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("trial_number", F.col("best_so_far").alias("best")))).alias("running_best"))
+    base = base.join(best, list(keys), "left")
     med = exact_quantiles(scored.where(_complete()), keys, "duration_s", [0.5], out_names=["median_complete_s"])
     return base.join(med, list(keys), "left")
 
@@ -234,6 +241,18 @@ def duration_distribution(scored: DataFrame, group_cols: Sequence[str] = ("datas
     return q.join(n, list(group_cols), "inner")
 
 
+def elapsed_by_precedence(runs: DataFrame, cost: DataFrame, timing: DataFrame, completed: DataFrame,
+                          keys: Sequence[str] = STUDY_KEYS) -> DataFrame:
+    """Elapsed seconds of each run from its cost record, else its timing record, else its
+    completion marker (each with the keys and ``elapsed_sec``), and where they came from."""
+    out = runs.select(*keys)
+    for name, df in (("cost", cost), ("timing", timing), ("completed", completed)):
+        out = out.join(df.select(*keys, F.col("elapsed_sec").alias(f"_{name}")), list(keys), "left")
+    source = (F.when(F.col("_cost").isNotNull(), F.lit("cost")).when(F.col("_timing").isNotNull(), F.lit("timing"))
+              .when(F.col("_completed").isNotNull(), F.lit("completed")))
+    return out.select(*keys, F.coalesce("_cost", "_timing", "_completed").alias("elapsed_sec"), source.alias("elapsed_source"))
+
+
 def sampler_comparison(summaries: DataFrame, cost: DataFrame) -> DataFrame:
     """One row per (sampler, dataset, generator); elapsed from the wall clock, then the
     duration sum; efficiency = best J per hour (NULL when hours <= 0)."""

@@ -20,10 +20,11 @@ LIVE_TARGET_TRIALS = 150
 
 def _live_inputs(spark, sf_dir):
     """Counts come from the whole log; the grid also has, per dataset, a generator that was never
-    launched (missing)."""
+    launched: queued in d0 and d1 (pending), elsewhere missing."""
     s = scored(spark, sf_dir)
     never = s.select(F.lit("gp").alias("sampler"), "dataset", F.lit("g9").alias("generator"))
-    return s, s.select("sampler", "dataset", "generator").unionByName(never).distinct()
+    queued = never.where(F.col("dataset").isin("d0", "d1"))
+    return s, s.select("sampler", "dataset", "generator").unionByName(never).distinct(), queued
 
 
 @register("s1_live_status", trial_sql(f"""
@@ -31,7 +32,7 @@ select g.sampler, g.dataset, g.generator,
        coalesce(c.n_complete, 0) as n_complete, coalesce(c.n_running, 0) as n_running,
        coalesce(c.n_fail, 0) as n_fail, coalesce(c.n_pruned, 0) as n_pruned,
        coalesce(c.n_attempted, 0) as n_attempted, round(c.best_objective, 9) as best_objective,
-       case when coalesce(c.n_attempted, 0) = 0 then 'missing'
+       case when coalesce(c.n_attempted, 0) = 0 then case when g.dataset in ('d0', 'd1') then 'pending' else 'missing' end
             when c.n_running > 0 then 'running'
             when c.n_complete >= {LIVE_TARGET_TRIALS} then 'completed'
             when c.n_fail = c.n_attempted then 'failed'
@@ -50,8 +51,8 @@ left join (select sampler, dataset, generator,
   on g.sampler = c.sampler and g.dataset = c.dataset and g.generator = c.generator""", summary=False))
 def s1_live_status(spark, sf_dir):
     """Live status per (sampler, dataset, generator) with a missing-cell scaffold."""
-    log, grid = _live_inputs(spark, sf_dir)
-    return r9(LV.live_status(LV.live_counts(log), grid, LIVE_TARGET_TRIALS), "best_objective")
+    log, grid, queued = _live_inputs(spark, sf_dir)
+    return r9(LV.live_status(LV.live_counts(log), grid, LIVE_TARGET_TRIALS, queued=queued), "best_objective")
 
 
 @register("s3_hourly_throughput", trial_sql("""

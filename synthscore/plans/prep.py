@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
+from ..operators import loader as L
 from ..operators import prep as P
 from ..operators import roles as D
 from ..operators import sampling as E
@@ -360,3 +361,46 @@ def f6_feature_matrix(spark, sf_dir):
     imp = P.apply_fills(sp, fills)
     m = P.feature_matrix(imp, imp.where(F.col("split") == "train"), [KEY, "split"], F6_NUM, F6_CAT)
     return r9(m, "value")
+
+
+# ---------------------------------------------------------------- E3, E7, F10, G4
+@register("e3_shuffle", psql(f"select id, row_number() over (order by {_h('7')}, id) - 1 as position from cl"))
+def e3_shuffle(spark, sf_dir):
+    """Deterministic shuffle of the whole table, as each row's place."""
+    return E.shuffled_position(cleaned(spark, sf_dir), KEY, "7").select(KEY, "position")
+
+
+@register("e7_load_train_test", fsql("""
+select e.id, e.split, e.segment, e.visits, e.target,
+       round((cast(e.nation as double) - m1) / case when s1 = 0 or s1 is null then 1 else s1 end, 9) as nation_z,
+       round((e.acctbal - m2) / case when s2 = 0 or s2 is null then 1 else s2 end, 9) as acctbal_z
+from enc e, (select avg(nation) as m1, stddev_pop(nation) as s1, avg(acctbal) as m2, stddev_pop(acctbal) as s2
+             from enc where split = 'train') st"""))
+def e7_load_train_test(spark, sf_dir):
+    """The end-to-end loader (clean, split, roles, impute, encode, scale) without a row cap."""
+    d = L.load_train_test(fx2_raw(spark, sf_dir), CFG | {"max_samples": 0, "features": FEATURES}, SEED_SAMPLE, SEED_SPLIT)
+    return r9(d.frame.select(KEY, "split", "segment", "visits", TARGET, "nation_z", "acctbal_z"), "nation_z", "acctbal_z")
+
+
+@register("f10_assemble_decoded", fsql("""
+select e.id, l.level as segment, e.nation, cast(v.level as bigint) as visits, round(e.acctbal, 9) as acctbal, t.level as target
+from enc e join lvl l on l.col_name = 'segment' and l.code = greatest(e.segment, 0)
+join lvl v on v.col_name = 'visits' and v.code = greatest(e.visits, 0)
+join lvl t on t.col_name = 'target' and t.code = greatest(e.target, 0)"""))
+def f10_assemble_decoded(spark, sf_dir):
+    """arrays of numerics and category codes back to named columns in template order."""
+    enc, levels = transformed(spark, sf_dir)
+    arrays = enc.select(KEY, F.array(F.col("nation").cast("double"), F.col("acctbal")).alias("numeric"),
+                        F.array("segment", "visits", TARGET).alias("codes"))
+    template = [("segment", "string"), ("nation", "int"), ("visits", "bigint"), ("acctbal", "double"), (TARGET, "string")]
+    return r9(P.assemble_decoded(arrays, [KEY], template, ["nation", "acctbal"], ["segment", "visits", TARGET], levels), "acctbal")
+
+
+@register("g4_role_override", psql(f"""
+select col_name, case when col_name in ('nation', 'target') or not is_numeric then 'categorical'
+                      when integer_like and n_unique > 1 and n_unique <= {CFG['max_int_categories']} then 'categorical'
+                      else 'numeric' end as role
+from ({PROFILE_SQL})"""))
+def g4_role_override(spark, sf_dir):
+    """Generator metadata — listed categoricals and the class target override the inferred roles."""
+    return D.override_roles(roles(spark, sf_dir), ["nation"], TARGET)

@@ -226,7 +226,9 @@ select a.*, b.trial_number as best_trial_number from (
          avg(case when state = 'COMPLETE' then duration_s end) as mean_complete_s,
          median(case when state = 'COMPLETE' then duration_s end) as median_complete_s,
          sum(case when state = 'COMPLETE' then duration_s end) as sum_complete_s,
-         count_if(state in ('FAIL', 'PRUNED')) as n_errors
+         count_if(state in ('FAIL', 'PRUNED')) as n_errors,
+         string_agg(case when state in ('FAIL', 'PRUNED') then cast(trial_number as varchar) || ':' || state end, ',' order by trial_number)
+           as errors
   from scored group by {KEYS_SQL}) a
 left join (select {KEYS_SQL}, trial_number, row_number() over (partition by {KEYS_SQL} order by objective desc, trial_number) as rn
            from scored where state = 'COMPLETE') b using ({KEYS_SQL})
@@ -236,10 +238,19 @@ where b.rn = 1 or b.rn is null""")
 @register("k12_study_cost", trial_sql(f"""
 select {KEYS_SQL}, n_complete, n_fail, n_pruned, n_attempted, best_trial_number, round(best_objective, 9) as best_objective,
        round(mean_complete_s, 9) as mean_complete_s, round(median_complete_s, 9) as median_complete_s,
-       round(sum_complete_s, 9) as sum_complete_s, n_errors from cost""", COST_CTE, summary=False))
+       round(sum_complete_s, 9) as sum_complete_s, n_errors,
+       coalesce(errors, '') as errors, coalesce(r.improved, '') as improved_at
+from cost left join (
+  select {KEYS_SQL}, string_agg(cast(trial_number as varchar), ',' order by trial_number) as improved
+  from (select *, lag(best_so_far) over (partition by {KEYS_SQL} order by trial_number) as p from curve)
+  where p is null or best_so_far > p group by {KEYS_SQL}) r using ({KEYS_SQL})""", COST_CTE, CURVE_CTE, summary=False))
 def k12_study_cost(spark, sf_dir):
-    """Per-study cost (state counts, best trial, mean / median / sum seconds of COMPLETE)."""
+    """Per-study cost (state counts, best trial, mean / median / sum seconds of COMPLETE, the
+    failed and pruned trials, the trials that improved the best)."""
     c = T.study_cost(scored(spark, sf_dir))
+    text = F.transform("errors", lambda e: F.concat_ws(":", e["trial_number"].cast("string"), e["state"]))
+    c = c.withColumn("errors", F.array_join(text, ",")).withColumn("improved_at", F.coalesce(F.array_join(
+        F.transform("running_best", lambda b: b["trial_number"].cast("string")), ","), F.lit(""))).drop("running_best")
     return r9(c, "best_objective", "mean_complete_s", "median_complete_s", "sum_complete_s")
 
 
@@ -266,6 +277,23 @@ def k13_sampler_comparison(spark, sf_dir):
     return r9(_comparison(spark, sf_dir), "best_value", "elapsed_sec", "mean_trial_sec", "efficiency_obj_per_hour")
 
 
+@register("k13_elapsed_precedence", trial_sql(f"""
+select {KEYS_SQL}, round(case when seed = 0 and sum_s is not null then sum_s when seed <= 1 and generator <> 'g2' then total_time_s
+                              when generator <> 'g1' then study_wall_clock_s end, 9) as elapsed_sec,
+       case when seed = 0 and sum_s is not null then 'cost' when seed <= 1 and generator <> 'g2' and total_time_s is not null then 'timing'
+            when generator <> 'g1' and study_wall_clock_s is not null then 'completed' end as elapsed_source
+from summary join (select {KEYS_SQL}, sum(case when state = 'COMPLETE' then duration_s end) as sum_s from scored group by {KEYS_SQL})
+  using ({KEYS_SQL})"""))
+def k13_elapsed_precedence(spark, sf_dir):
+    """Elapsed seconds by precedence cost, timing, completed (seed 0 has cost records, seeds 0 and 1
+    timing but for g2, all but g1 a completion marker)."""
+    s = summaries(spark, sf_dir)
+    cost = scored(spark, sf_dir).where((F.col("state") == "COMPLETE") & (F.col("seed") == 0)).groupBy(*K).agg(F.sum("duration_s").alias("elapsed_sec"))
+    timing = s.where((F.col("seed") <= 1) & (F.col("generator") != "g2")).select(*K, F.col("total_time_s").alias("elapsed_sec"))
+    done = s.where(F.col("generator") != "g1").select(*K, F.col("study_wall_clock_s").alias("elapsed_sec"))
+    return r9(T.elapsed_by_precedence(s, cost, timing, done), "elapsed_sec")
+
+
 @register("k14_wide_pivot", trial_sql("""
 select dataset, generator, seed,
        round(max(case when sampler = 'standard_tpe' then best_value end), 9) as best_value_standard_tpe,

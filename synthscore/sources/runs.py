@@ -83,6 +83,16 @@ def with_keys_from_path(df: DataFrame, pattern: str, names: Sequence[str]) -> Da
     return df.select("*", *[F.regexp_extract(path, pattern, i + 1).alias(n) for i, n in enumerate(names)])
 
 
+def export_complete_trials(df: DataFrame, pattern: str, names: Sequence[str], params: str = "params",
+                           param_names: Sequence[str] = ()) -> DataFrame:
+    """The COMPLETE trials of a folder of study files, study keys from the file paths, and the
+    ``params`` map (or JSON object text) widened to one ``param_<name>`` column per listed name."""
+    t = with_keys_from_path(df, pattern, names).where(F.upper("state") == "COMPLETE")
+    m = F.col(params) if dict(df.dtypes)[params].startswith("map") else F.from_json(params, "map<string,string>")
+    return t.select(*names, *[c for c in df.columns if c != params],
+                    *[F.element_at(m, F.lit(p)).alias(f"param_{p}") for p in param_names])
+
+
 # ------------------------------------------------------------------ A10
 def wide_to_trials(wide: DataFrame, dataset: Column, generator: Column, sampler: Column,
                    seed: Column) -> DataFrame:

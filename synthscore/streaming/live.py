@@ -76,13 +76,19 @@ def status_label(target_trials: int | Column) -> Column:
 
 
 def live_status(counts: DataFrame, grid: DataFrame, target_trials: int | Column,
-                keys: Sequence[str] = LIVE_KEYS) -> DataFrame:
-    """Every grid cell with its status, counts (0 for absent cells) and best so far."""
+                keys: Sequence[str] = LIVE_KEYS, queued: DataFrame | None = None) -> DataFrame:
+    """Every grid cell with its status, counts (0 for absent cells) and best so far.  A cell
+    without rows is ``pending`` where ``queued`` lists it, else ``missing``."""
     j = grid.select(*keys).join(counts, list(keys), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
     j = j.select(*keys, *[zero(c) for c in ("n_complete", "n_running", "n_fail", "n_pruned", "n_attempted")],
                  "best_objective")
-    return j.withColumn("status", status_label(target_trials))
+    j = j.withColumn("status", status_label(target_trials))
+    if queued is None:
+        return j
+    q = queued.select(*keys).distinct().withColumn("_q", F.lit(True))
+    waiting = (F.col("status") == "missing") & F.col("_q")
+    return j.join(q, list(keys), "left").withColumn("status", F.when(waiting, F.lit("pending")).otherwise(F.col("status"))).drop("_q")
 
 
 def start_live_status(stream: DataFrame, grid: DataFrame, target_trials: int, out_path: str,

@@ -38,3 +38,14 @@ def test_split_with_null_targets(spark):
     sp = E.train_test_split(df, "id", "target", 0.25)
     assert sp.where("split = 'test'").count() == 10  # a quarter of the 40 rows with a class
     assert sp.where("split = 'test' and target is null").count() == 0
+
+
+def test_export_complete_trials(spark, tmp_path):
+    from synthscore.sources.runs import export_complete_trials
+
+    for study, rows in (("adult/gp", [(0, "COMPLETE", '{"lr": "0.1", "layers": "[2, 2]"}'), (1, "FAIL", "{}")]), ("wine/tpe", [(0, "complete", '{"lr": "0.2"}')])):
+        spark.createDataFrame(rows, "number long, state string, params string").write.json(f"{tmp_path}/{study}/trials.json")
+    df = spark.read.schema("number long, state string, params string").json([f"{tmp_path}/adult/gp/trials.json", f"{tmp_path}/wine/tpe/trials.json"])
+    out = export_complete_trials(df, r"([^/]+)/([^/]+)/trials\.json/", ["dataset", "sampler"], "params", ["lr", "layers"])
+    assert sorted(tuple(r) for r in out.select("dataset", "sampler", "number", "param_lr", "param_layers").collect()) == [
+        ("adult", "gp", 0, "0.1", "[2, 2]"), ("wine", "tpe", 0, "0.2", None)]
