@@ -89,37 +89,37 @@ def grid_candidates(spark: SparkSession, space: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ G1 / G2: bootstrap
-def _poisson1_count(u: Column, kmax: int = 12) -> Column:
-    """Inverse CDF of Poisson(1) at u (exact up to kmax, P(K > 12) < 1e-9)."""
-    cdf, p, acc = [], math.exp(-1.0), 0.0
-    for k in range(kmax + 1):
-        acc += p
-        cdf.append(acc)
-        p = p / (k + 1)
-    return sum((u > F.lit(c)).cast("int") for c in cdf)
+def draw_positions(n: int, candidates: DataFrame, seed: int) -> DataFrame:
+    """(trial_id, draw, position): ``n`` draws with replacement from positions 0 .. n-1 per candidate.
+    A position is 60 bits of md5(seed|trial|draw) modulo n, the same in every engine."""
+    spark = candidates.sparkSession
+    draws = spark.range(n).select(F.col("id").alias("draw"))
+    x = draws.crossJoin(candidates.select("trial_id"))  # the output itself: n rows per candidate
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial_id").cast("string"), F.col("draw").cast("string")))
+    return x.withColumn("position", F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint") % F.lit(n))
 
 
 def bootstrap(real: DataFrame, candidates: DataFrame, key_cols: Sequence[str], numeric_cols: Sequence[str],
               seed: int = 42, noise_param: str = "noise_std") -> DataFrame:
-    """Poisson(1) bootstrap of the real rows for every candidate, plus relative Gaussian
-    noise ``noise_std * population std`` (std 0 -> 1) on numeric columns; noise 0 = plain bootstrap.
+    """Exactly as many rows as the real table has, drawn with replacement for every
+    candidate, plus relative Gaussian noise ``noise_std * population std`` (std 0 -> 1) on numeric
+    columns; noise 0 = plain bootstrap.
 
-    Each real row independently appears K ~ Poisson(1) times per candidate (the distributed
-    form of n draws with replacement; the size is about n, G8 makes it exact).
+    Draws meet the real rows in a shuffled equi-join on the row's place in hash order, which is found
+    from prefix counts; a place is drawn about once, so no join key is hot.
     """
-    stats = real.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(f"_sd_{c}") for c in numeric_cols])
-    cand = candidates.select("trial_id", F.coalesce(F.col("params")[noise_param].try_cast("double"), F.lit(0.0)).alias("_noise"))
+    from .sampling import shuffled_position
+    stats = real.agg(F.count(F.lit(1)).alias("_n"), *[F.stddev_pop(F.col(c).cast("double")).alias(f"_sd_{c}") for c in numeric_cols]).first()
+    noise = F.coalesce(F.col("params")[noise_param].try_cast("double"), F.lit(0.0))
     rk = F.concat_ws("|", *[F.col(k).cast("string") for k in key_cols])
-    x = real.withColumn("_rk", rk).crossJoin(F.broadcast(cand)).crossJoin(F.broadcast(stats))  # candidates x one row
-    k = _poisson1_count(hash_uniform(F.lit(seed), F.col("trial_id"), F.col("_rk")))
-    x = x.where(k > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), k)))
-    out = x
+    placed = shuffled_position(real.withColumn("source_key", rk), "source_key", seed)
+    out = (draw_positions(int(stats["_n"]), candidates, seed).join(placed, "position")
+           .join(candidates.select("trial_id", noise.alias("_noise")), "trial_id"))
     for c in numeric_cols:
-        sd = F.col(f"_sd_{c}")
-        scale = F.when(sd.isNull() | (sd == 0), F.lit(1.0)).otherwise(sd)
-        z = hash_normal(F.lit(seed), F.col("trial_id"), F.col("_rk"), F.col("_copy"), F.lit(c))
-        out = out.withColumn(c, F.col(c).cast("double") + F.col("_noise") * scale * z)
-    return out.drop("_noise", *[f"_sd_{c}" for c in numeric_cols]).withColumnRenamed("_rk", "source_key")
+        sd = stats[f"_sd_{c}"] or 1.0
+        z = hash_normal(F.lit(seed), F.col("trial_id"), F.col("draw").cast("string"), F.lit(0), F.lit(c))
+        out = out.withColumn(c, F.col(c).cast("double") + F.col("_noise") * F.lit(float(sd)) * z)
+    return out.drop("_noise", "position")
 
 
 # ------------------------------------------------------------------ G5 / G6 / G7: snapping

@@ -35,11 +35,29 @@ def g1_bootstrap_noise(spark, sf_dir):
     return c.join(s, "trial_id")
 
 
-@register("g2_bootstrap_rows")
+def _bootstrap_sql(seed: int, noise: str) -> str:
+    """Bootstrap without its noise: n draws by md5 per candidate joined with the places of the real rows."""
+    return f"""
+with placed as (select *, row_number() over (order by md5('{seed}|' || k), k) - 1 as position
+                from (select *, concat_ws('|', l_orderkey, l_linenumber, {', '.join(f"cast(round({c} * 100) as bigint)" for c in FX1_NUMERIC)},
+                                          l_returnflag, l_linestatus) as k from fx1_real)),
+draws as (select t.trial_id, d.draw, cast('0x' || substr(md5('{seed}|' || cast(t.trial_id as varchar) || '|' || cast(d.draw as varchar)), 1, 15) as bigint)
+                 % (select count(*) from fx1_real) as position
+          from range(0, {N_CANDIDATES}) t(trial_id), range(0, (select count(*) from fx1_real)) d(draw))
+{noise}"""
+
+
+@register("g2_bootstrap_rows", with_fixtures(_bootstrap_sql(7, """
+select d.trial_id, d.draw, p.k as source_key, p.l_orderkey, p.l_linenumber, cast(p.l_quantity as double) as l_quantity,
+       cast(p.l_extendedprice as double) as l_extendedprice, cast(p.l_discount as double) as l_discount, cast(p.l_tax as double) as l_tax,
+       p.l_returnflag, p.l_linestatus from draws d join placed p using (position)"""), "fx1_real"))
 def g2_bootstrap_rows(spark, sf_dir):
-    """Plain joint-row bootstrap (noise 0) of the real table for every candidate, row level."""
+    """Plain joint-row bootstrap (noise 0) of the real table for every candidate, exactly n rows each."""
     cand = candidates(spark).withColumn("params", F.create_map(F.lit("noise_std"), F.lit("0")))
-    return G.bootstrap(fx1_real(spark, sf_dir), cand, KEYS, FX1_NUMERIC, seed=7)
+    cents = [F.round(F.col(c) * 100).cast("bigint").alias(f"_{c}") for c in FX1_NUMERIC]  # order and line alone are not unique
+    real = fx1_real(spark, sf_dir).select("*", *cents)
+    out = G.bootstrap(real, cand, [*KEYS, *[f"_{c}" for c in FX1_NUMERIC], "l_returnflag", "l_linestatus"], FX1_NUMERIC, seed=7)
+    return out.drop(*[f"_{c}" for c in FX1_NUMERIC])
 
 
 LEVEL_ORDER_SQL = "md5('42|' || cast(l_orderkey as varchar) || '|' || cast(l_linenumber as varchar))"
