@@ -9,8 +9,7 @@ many as it needs, which then also match at distance one, through the subset's on
 neighbourhood; where even this is not enough it falls back on its empty segments.
 
 Sets that meet in a bucket are candidates.  Each bucket first compares its members with its smallest
-one; buckets whose members are not yet connected then compare all members of different components,
-in blocks.  Every comparison is exact, and no link between components is lost.
+one; members of buckets that are not yet connected are then compared across components, in blocks.  Every comparison is exact, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -191,29 +190,70 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(check, "u struct<n:long,fp:long>, v struct<n:long,fp:long>")
 
 
+def _shared(keys: list[np.ndarray], n: np.ndarray, comp: np.ndarray, block: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs i * len + j of rows of different components that meet in a bucket, one probing it and
+    the other in its index; of two blocks only pairs across them."""
+    sizes = [len(k) for k in keys]
+    flat, row = np.concatenate(keys), np.repeat(np.arange(len(keys)), sizes)
+    order = np.argsort(flat >> 2, kind="stable")
+    flat, row = flat[order], row[order]
+    cuts = np.flatnonzero(np.r_[True, flat[1:] >> 2 != flat[:-1] >> 2, True])
+    one, out, held = len(np.unique(block)) == 1, [np.empty(0, np.int64)], 0
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        if hi - lo < 2:
+            continue
+        r, role = row[lo:hi], flat[lo:hi] & 3
+        for k in range(len(r)):
+            i, j = r[k], r[k + 1:]
+            ok = (comp[j] != comp[i]) & ((role[k] & PROBE) & (role[k + 1:] & INDEX) * 2 | (role[k] & INDEX) * 2 & (role[k + 1:] & PROBE) > 0)
+            ok &= (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])) & (one | (block[j] != block[i]))
+            out.append(np.minimum(i, j[ok]) * len(keys) + np.maximum(i, j[ok]))
+            held += len(out[-1])
+        if held > 1_000_000:
+            out = [np.unique(np.concatenate(out))]
+            held = 0
+    return np.unique(np.concatenate(out))
+
+
 def _verify_blocks(percent: int):
-    """Links between different components inside one pair of blocks of a bucket; a component found
-    connected on the way is not compared again."""
+    """Links between different components inside one pair of blocks; components found connected on
+    the way are not compared again."""
     def check(t: pa.Table) -> pa.Table:
-        n, fp, role, block = (t[c].to_numpy() for c in ("n", "fp", "role", "block"))
+        n, fp, block = (t[c].to_numpy() for c in ("n", "fp", "block"))
         items = [np.frombuffer(x, np.uint64) for x in t["items"].to_pylist()]
-        names, comp = np.unique(list(zip(t["cn"].to_pylist(), t["cf"].to_pylist())), axis=0, return_inverse=True)
-        comp = comp.ravel().copy()
-        one, us, vs = len(np.unique(block)) == 1, [], []
-        for i in range(len(n)):
-            near = (comp != comp[i]) & (((role[i] & PROBE) & (role & INDEX) * 2) | ((role[i] & INDEX) * 2 & (role & PROBE)) > 0)
-            near &= (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            near &= (np.arange(len(n)) > i) if one else (block > block[i])
-            for j in np.flatnonzero(near):
-                if comp[j] != comp[i] and similar(items[i], items[j], percent):
-                    us.append({"n": int(n[i]), "fp": int(fp[i])})
-                    vs.append({"n": int(n[j]), "fp": int(fp[j])})
-                    comp[comp == comp[j]] = comp[i]
+        _, comp = np.unique(np.stack([t["cn"].to_numpy(), t["cf"].to_numpy()], axis=1), axis=0, return_inverse=True)
+        comp, us, vs = comp.ravel().copy(), [], []
+        for code in _shared([np.array(k, np.int64) for k in t["keys"].to_pylist()], n, comp, block, percent):
+            i, j = divmod(int(code), len(n))
+            if comp[i] != comp[j] and similar(items[i], items[j], percent):
+                us.append({"n": int(n[i]), "fp": int(fp[i])})
+                vs.append({"n": int(n[j]), "fp": int(fp[j])})
+                comp[comp == comp[j]] = comp[i]
         kind = pa.struct([("n", pa.int64()), ("fp", pa.int64())])
         return pa.table({"u": pa.array(us, kind), "v": pa.array(vs, kind)})
     return check
 
 
+def _compare_open(rest: DataFrame, sets: DataFrame, percent: int, block_items: int) -> DataFrame:
+    """Links between the components that meet in open buckets.
+
+    Components joined through open buckets form a family; a set goes to its family once, with its
+    bucket keys.  A family is cut into blocks of about ``block_items`` shingles, and each pair of
+    blocks is one task, so a family of any size is compared without one large group.
+    """
+    families = connected_components(rest.select(F.col("lo").alias("u"), F.col("component").alias("v")).where("u != v").distinct())
+    families = families.select(F.col("node").alias("component"), F.col("component").alias("family"))
+    nodes = (rest.groupBy("node", "component").agg(F.collect_list(F.col("key") * 4 + F.col("role")).alias("keys"))
+             .join(families, "component"))
+    blocks = nodes.groupBy("family").agg(F.ceil(F.sum("node.n") / block_items).cast("int").alias("blocks"))
+    m = nodes.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.select("family", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "keys",
+                 "node.n", "node.fp", F.col("component.n").alias("cn"), F.col("component.fp").alias("cf")).join(sets, ["n", "fp"])
+    return (m.groupBy("family", "b0", "b1")
+            .applyInArrow(_verify_blocks(percent), "u struct<n:long,fp:long>, v struct<n:long,fp:long>").distinct())
+
+
 def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with component, of the buckets that hold more than one component; of buckets with
     equal members one is kept."""
@@ -221,11 +261,11 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     m = m.withColumn("component", F.coalesce("component", "node"))
     per = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"),
                                F.sum(F.xxhash64("node", "role").cast("decimal(38,0)")).alias("sum"))
-    per = per.where((F.col("lo") != F.col("hi")) & (F.col("size") > 2)).groupBy("size", "sum").agg(F.min("key").alias("key"))
-    return m.join(per.select("key", "size"), "key")
+    per = per.where((F.col("lo") != F.col("hi")) & (F.col("size") > 2)).groupBy("size", "sum").agg(F.min("key").alias("key"), F.min("lo").alias("lo"))
+    return m.join(per.select("key", "lo"), "key")
 
 
-def similar_components(docs: DataFrame, size: int = 3, percent: int = 90, block: int = 256) -> DataFrame:
+def similar_components(docs: DataFrame, size: int = 3, percent: int = 90, block_items: int = 500_000) -> DataFrame:
     """Components of rows whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     Returns doc_id, n_shingles, component_id for every row: component_id is the smallest doc_id
@@ -255,14 +295,7 @@ def similar_components(docs: DataFrame, size: int = 3, percent: int = 90, block:
     labels = connected_components(links)
     rest = written(_open_buckets(members, labels), "open-buckets")
     if not rest.isEmpty():
-        blocks = F.ceil(F.col("size") / block).cast("int")
-        m = rest.select("key", "role", "node", "component", blocks.alias("blocks"),
-                        F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int").alias("block"))
-        m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        m = m.select("key", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "role",
-                     "node.n", "node.fp", F.col("component.n").alias("cn"), F.col("component.fp").alias("cf")).join(sets, ["n", "fp"])
-        found = m.groupBy("key", "b0", "b1").applyInArrow(_verify_blocks(percent), "u struct<n:long,fp:long>, v struct<n:long,fp:long>")
-        more = written(found.distinct(), "links")
+        more = written(_compare_open(rest, sets, percent, block_items), "links")
         labels = connected_components(links.unionByName(more))
     named = classes.select(node.alias("node"), "rep_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("rep_id").alias("component_id"))

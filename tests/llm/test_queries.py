@@ -114,7 +114,7 @@ def test_jaccard_edited_copies(spark):
             rows.append((len(rows), " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for size, percent in ((3, 90), (1, 80), (2, 60)):
-        got = [tuple(r) for r in jaccard.similar_components(docs, size, percent, block=7).collect()]
+        got = [tuple(r) for r in jaccard.similar_components(docs, size, percent, block_items=300).collect()]
         assert sorted(got) == sorted(brute_components(rows, size, percent))
 
 
