@@ -51,8 +51,8 @@ select d.dcr, n.nndr, s.ref_intended, s.ref_parity from
           median(case when rank = 1 then distance end) as ref_parity from nns) s""")
 
 
-def psql(body, *extra):
-    return with_fixtures(body, "fx3_base", "fx3_query", extra=[NN_CTE, *extra])
+def psql(body, *extra, fixtures=()):
+    return with_fixtures(body, "fx3_base", "fx3_query", *fixtures, extra=[NN_CTE, *extra])
 
 
 @register("j1_knn", psql("select grp, qid, cast(rank as bigint) as rank, bid, round(distance, 9) as distance from nn"))
@@ -111,19 +111,25 @@ def _privacy_table(spark, sf_dir):
 @register("j7_privacy_risk", psql(f"""
 select cast(0 as bigint) as grp, round(dcr, 9) as dcr, round(nndr, 9) as nndr,
        round(least(greatest(nndr, 0e0), 1e0), 9) as nndr_norm, round(dn, 9) as dcr_norm,
-       round(least(greatest((0.3e0 * least(greatest(1e0 - least(greatest(nndr, 0e0), 1e0), 0e0), 1e0)
-                      + 0.2e0 * least(greatest(1e0 - dn, 0e0), 1e0)) / 0.5e0, 0e0), 1e0), 9) as privacy_risk
-from (select *, case when ref_intended <= 1e-12 then 0e0 else least(greatest(dcr / (dcr + ref_intended), 0e0), 1e0) end as dn
-      from priv)""", SAMPLE_CTE, NNS_CTE, PRIV_CTE))
+       round(mia_auc, 9) as mia_auc,
+       round(least(greatest((0.5e0 * least(greatest(mia_auc, 0e0), 1e0)
+                      + 0.3e0 * least(greatest(1e0 - least(greatest(nndr, 0e0), 1e0), 0e0), 1e0)
+                      + 0.2e0 * least(greatest(1e0 - dn, 0e0), 1e0)) / 1e0, 0e0), 1e0), 9) as privacy_risk
+from (select *, (select (sum(case when y_true = 1 then rk end) - count_if(y_true = 1) * (count_if(y_true = 1) + 1) / 2e0)
+                        / (count_if(y_true = 1) * count_if(y_true = 0))
+                 from (select *, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2e0 as rk from fx9_pred)) as mia_auc, case when ref_intended <= 1e-12 then 0e0 else least(greatest(dcr / (dcr + ref_intended), 0e0), 1e0) end as dn
+      from priv)""", SAMPLE_CTE, NNS_CTE, PRIV_CTE, fixtures=("fx9_pred",)))
 def j7_privacy_risk(spark, sf_dir):
-    """Distance-based privacy risk (NNDR and DCR converted from safety to risk, weights .3 / .2);
-    the attack AUC joins in the batched trial scoring, where the model runs."""
-    t = _privacy_table(spark, sf_dir)
+    """Privacy risk from the attack AUC (here of the fixed predictions), NNDR and DCR (converted
+    from safety to risk), weights .5 / .3 / .2."""
+    auc = J.roc_auc(fx9_pred(spark, sf_dir), "y_true", "score").select(F.col("auc").alias("mia_auc"))
+    t = _privacy_table(spark, sf_dir).crossJoin(auc)  # one row
     nn_norm = clip01(F.col("nndr"))
-    risks = {"nndr": clip01(F.lit(1.0) - nn_norm), "dcr": clip01(F.lit(1.0) - F.col("dcr_norm_intended"))}
-    out = t.select("grp", "dcr", "nndr", nn_norm.alias("nndr_norm"), F.col("dcr_norm_intended").alias("dcr_norm"),
+    risks = {"mia_auc": clip01(F.col("mia_auc")), "nndr": clip01(F.lit(1.0) - nn_norm),
+             "dcr": clip01(F.lit(1.0) - F.col("dcr_norm_intended"))}
+    out = t.select("grp", "dcr", "nndr", nn_norm.alias("nndr_norm"), F.col("dcr_norm_intended").alias("dcr_norm"), "mia_auc",
                    J.privacy_risk(risks).alias("privacy_risk"))
-    return r9(out, "dcr", "nndr", "nndr_norm", "dcr_norm", "privacy_risk")
+    return r9(out, "dcr", "nndr", "nndr_norm", "dcr_norm", "mia_auc", "privacy_risk")
 
 
 @register("j5_roc_auc", with_fixtures("""
