@@ -50,7 +50,7 @@ def test_toxicity_learns_pairs():
     x = rng.integers(0, 2, (800, 2))
     docs = [np.array([10 + i for i in range(2) if r[i]] + [100], np.uint32) for r in x]
     y = (x[:, 0] ^ x[:, 1] ^ 1).astype(float)  # both or neither
-    fm = toxicity.FactorizationMachine(np.array([10, 11], np.uint32), 2.0, np.array([-4.0, -4.0]), np.array([[2.0], [3.0]]))
+    fm = toxicity.FactorizationMachine(np.array([10, 11], np.uint32), 2.0, np.array([-4.0, -4.0]), np.array([[3.0], [3.0]]))
     row, col = fm.cells(docs)
     assert ((fm.score(row, col, len(docs)) > 0.5) == (y > 0)).all()
     y = (x[:, 0] & x[:, 1]).astype(float)
