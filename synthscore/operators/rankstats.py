@@ -27,6 +27,7 @@ ERFC_COEFFS = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
                0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 # Nemenyi critical values q_0.05 for k = 2 .. 10 treatments.
 NEMENYI_Q05 = {2: 1.960, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.850, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164}
+# Largest number of non-zero pairs for which the "auto" method uses the exact null distribution.
 EXACT_MAX_N = 50
 
 
@@ -168,11 +169,15 @@ def friedman(df: DataFrame, block_col: str, treat_col: str, value_col: str, grou
 # ------------------------------------------------------------------ M6 / M7 / M8
 def wilcoxon_pairs(df: DataFrame, block_col: str, treat_col: str, value_col: str,
                    pairs: Sequence[tuple[str, str, str]], group_cols: Sequence[str] = (),
-                   allclose_rel: float = 0.0, degenerate_stat: float | None = 0.0) -> DataFrame:
+                   allclose_rel: float = 0.0, degenerate_stat: float | None = 0.0, method: str = "auto") -> DataFrame:
     """M6: two-sided Wilcoxon signed-rank per pair (a, b, label): zero differences dropped.
+    ``method``: "exact" (null distribution by enumeration), "approx" (normal with tie correction) or
+    "auto", the usual definition: exact with at most ``EXACT_MAX_N`` pairs and no ties or zeros.
     When every |a - b| <= 1e-8 + allclose_rel * |b| the result is (degenerate_stat, 1.0):
     (0, 1.0) for the dataset-level tests, (NaN -> NULL, 1.0) with allclose_rel 1e-5 for
     the per-preset tests (P-29)."""
+    if method not in ("auto", "exact", "approx"):
+        raise ValueError(f"unknown method {method!r}")
     g = list(group_cols)
     spark = df.sparkSession
     c = complete_only(df, block_col, treat_col, value_col, g)
@@ -202,7 +207,8 @@ def wilcoxon_pairs(df: DataFrame, block_col: str, treat_col: str, value_col: str
     mn = nn * (nn + 1) * 0.25
     se = F.sqrt((nn * (nn + 1) * (2 * nn + 1) - F.lit(0.5) * F.coalesce(F.col("tie_sum"), F.lit(0.0))) / 24.0)
     approx = F.lit(2.0) * norm_sf_expr(F.abs(stat - mn) / se)
-    exact_ok = (n <= EXACT_MAX_N) & (F.col("n_ties") == 0) & (F.coalesce(F.col("max_t"), F.lit(1)) == 1)
+    exact_ok = {"auto": (n <= EXACT_MAX_N) & (F.col("n_ties") == 0) & (F.coalesce(F.col("max_t"), F.lit(1)) == 1),
+                "exact": F.lit(True), "approx": F.lit(False)}[method]
     degenerate = (F.col("_n_far") == 0) | (n == 0)
     return x.select(
         *key, "mean_a", "mean_b", "mean_delta_a_minus_b", "n_a_better", "n_b_better", "n_ties",
@@ -233,7 +239,7 @@ def direction_label(delta: Column, label_a: Column, label_b: Column) -> Column:
 
 
 def nemenyi_cd(k: Column, n: Column) -> Column:
-    """M9: Nemenyi critical difference q_0.05 * sqrt(k (k+1) / (6 n))."""
+    """M9: Nemenyi critical difference q_0.05 * sqrt(k (k+1) / (6 n)); NULL beyond the table's k = 10."""
     q = F.element_at(F.create_map(*[x for kv in NEMENYI_Q05.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]),
                      k.cast("int"))
     return q * F.sqrt(k * (k + 1) / (F.lit(6.0) * n))

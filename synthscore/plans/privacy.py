@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip01
 from ..operators import privacy as J
-from ..sources.fixtures import fx3_base, fx3_query, fx9_pred, with_fixtures
+from ..sources.fixtures import FX1_NUMERIC, fx1_real, fx1_synth, fx3_base, fx3_query, fx9_pred, with_fixtures
 from .common import r9
 from .registry import register
 
@@ -143,11 +143,37 @@ def j5_roc_auc(spark, sf_dir):
     return r9(J.roc_auc(fx9_pred(spark, sf_dir), "y_true", "score"), "auc")
 
 
+_U_SQL = "cast('0x' || substr(md5('42{s}|' || cast(l_orderkey * 8 + l_linenumber as varchar)), 1, 8) as bigint) / 4294967296e0 < 0.3e0"
+_SCORE_SQL = " + ".join(
+    f"(-0.5e0 * (ln(greatest(r.v{i}, 1e-9)) + ({c} - r.m{i}) ** 2 / greatest(r.v{i}, 1e-9))"
+    f" + 0.5e0 * (ln(greatest(s.v{i}, 1e-9)) + ({c} - s.m{i}) ** 2 / greatest(s.v{i}, 1e-9)))" for i, c in enumerate(FX1_NUMERIC))
+_MOMENTS_SQL = ", ".join(f"avg({c}) as m{i}, var_pop({c}) as v{i}" for i, c in enumerate(FX1_NUMERIC))
+
+
+@register("j4_batched_attack", with_fixtures(f"""
+with r0 as (select *, {_U_SQL.format(s='r')} as held from fx1_real), s0 as (select *, {_U_SQL.format(s='s')} as held from fx1_synth),
+r as (select {_MOMENTS_SQL} from r0 where not held),
+s as (select trial_id, {_MOMENTS_SQL} from s0 where not held group by trial_id),
+p as (select s.trial_id, 1 as member, round({_SCORE_SQL}, 6) as p from r0, r, s where held
+      union all select s0.trial_id, 0, round({_SCORE_SQL}, 6) from s0, r, s where held and s0.trial_id = s.trial_id)
+select trial_id, count_if(member = 1) as n_pos, count_if(member = 0) as n_neg,
+       round((sum(case when member = 1 then rk end) - count_if(member = 1) * (count_if(member = 1) + 1) / 2e0)
+             / (count_if(member = 1) * count_if(member = 0)), 5) as auc
+from (select *, rank() over (partition by trial_id order by p) + (count(*) over (partition by trial_id, p) - 1) / 2e0 as rk from p)
+group by trial_id""", "fx1_real", "fx1_synth"))
+def j4_batched_attack(spark, sf_dir):
+    """J4 for every candidate over all rows: Gaussian naive Bayes attack, AUC on the held-out 30 %."""
+    key = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rk")
+    real = fx1_real(spark, sf_dir).select(key, *FX1_NUMERIC)
+    synth = fx1_synth(spark, sf_dir).select("trial_id", key, *FX1_NUMERIC)
+    out = J.batched_attack_auc(real, synth, FX1_NUMERIC, "rk", "rk")
+    return out.withColumn("auc", F.round("auc", 5))
+
+
 @register("j4_membership_attack")
 def j4_membership_attack(spark, sf_dir):
     """Membership-attack AUC of candidate 0 against the real half (random forest, 30 % holdout)."""
     from ..operators.privacy import membership_attack_auc
-    from ..sources.fixtures import FX1_NUMERIC, fx1_real, fx1_synth
     key = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rk")
     real = fx1_real(spark, sf_dir).select(key, *FX1_NUMERIC)
     synth = fx1_synth(spark, sf_dir).where(F.col("trial_id") == 0).select(key, *FX1_NUMERIC)
