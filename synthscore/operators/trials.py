@@ -463,5 +463,5 @@ def param_importance(trials: DataFrame, params: dict[str, str], keys: Sequence[s
     e = e.select(*k, "param", (F.col("ss_between") / (F.col("v") * F.col("n"))).alias("eta2"))
     study = Window.partitionBy(*k)
     e = e.withColumn("importance", F.try_divide(F.col("eta2"), F.sum("eta2").over(study)))
-    e = e.withColumn("rank", F.row_number().over(study.orderBy(F.col("importance").desc(), F.col("param"))))
+    e = e.withColumn("rank", F.row_number().over(study.orderBy(F.round("importance", 9).desc(), F.col("param"))))
     return e.where(F.col("rank") <= top_k) if top_k else e

@@ -102,7 +102,7 @@ e as (select {K31_KEYS}, param, ss_between / (v * n) as eta2 from tot join btw u
       where n >= 3 and n_bins >= 2 and v > 0),
 i as (select *, eta2 / sum(eta2) over (partition by {K31_KEYS}) as importance from e)
 select {K31_KEYS}, param, round(eta2, 6) as eta2, round(importance, 6) as importance,
-       cast(row_number() over (partition by {K31_KEYS} order by importance desc, param) as bigint) as rank
+       cast(row_number() over (partition by {K31_KEYS} order by round(importance, 9) desc, param) as bigint) as rank
 from i""", summary=False))
 def k31_param_importance(spark, sf_dir):
     """Per-study parameter effect (eta^2, normalised to 1) on the tracker log converted by A10."""
