@@ -119,3 +119,14 @@ def g3_gaussian_copula(spark, sf_dir):
     real = fx1_real(spark, sf_dir).withColumn("rk", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     model = fit_copula(real, "rk", FX1_NUMERIC, family="norm")
     return sample_copula(spark, model, real.count(), seed=42)
+
+
+@register("k26_rescore_trials")
+def k26_rescore_trials(spark, sf_dir):
+    """Rebuild every candidate's synthetic table (noisy bootstrap) and re-score it beside its log row."""
+    from ..operators.fidelity import rescore_trials
+    from ..sources.fixtures import FX1_CATEGORICAL
+    cand = candidates(spark)
+    log = cand.select("trial_id", F.col("params")["noise_std"].cast("double").alias("noise_std"),
+                      (F.lit(1.0) - F.col("params")["noise_std"].cast("double")).alias("fidelity"))
+    return rescore_trials(log, fx1_real(spark, sf_dir), bootstrapped(spark, sf_dir), FX1_NUMERIC, FX1_CATEGORICAL)

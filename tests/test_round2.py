@@ -49,3 +49,16 @@ def test_export_complete_trials(spark, tmp_path):
     out = export_complete_trials(df, r"([^/]+)/([^/]+)/trials\.json/", ["dataset", "sampler"], "params", ["lr", "layers"])
     assert sorted(tuple(r) for r in out.select("dataset", "sampler", "number", "param_lr", "param_layers").collect()) == [
         ("adult", "gp", 0, "0.1", "[2, 2]"), ("wine", "tpe", 0, "0.2", None)]
+
+
+def test_rescore_keeps_old_columns(spark):
+    from synthscore.operators.fidelity import rescore_trials
+
+    real = spark.range(60).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"),
+                                  F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("c"))
+    synth = real.withColumn("trial_id", F.lit(0).cast("long")).unionByName(
+        real.withColumn("trial_id", F.lit(1).cast("long")).withColumn("x", F.col("x") + 100))
+    log = spark.createDataFrame([(0, 0.4), (1, 0.5), (2, 0.6)], "trial_id long, fidelity double")
+    got = {r["trial_id"]: r for r in rescore_trials(log, real, synth, ["x", "y"], ["c"]).collect()}
+    assert [got[t]["fidelity_old"] for t in range(3)] == [0.4, 0.5, 0.6]
+    assert got[0]["fidelity"] == pytest.approx(1.0) and got[1]["fidelity"] < 0.95 and got[2]["fidelity"] is None
