@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, written
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -90,7 +90,7 @@ def judge_documents(docs: DataFrame, min_docs: int = 20, max_share: float = 0.1,
     words remain.  Null and empty texts have no words and fail.  Rows with a null ``host`` form one
     host.  Repeated rows get equal results; a null doc_id counts as one id.
     """
-    lines = document_lines(docs.select("doc_id", "text", host), host)
+    lines = written(document_lines(docs.select("doc_id", "text", host), host), "document-lines")  # read three times
     hot = frequent_lines(lines, min_docs, max_share).withColumnRenamed("host", "h").withColumnRenamed("line", "l")
     lost = (lines.join(hot, lines["host"].eqNullSafe(hot["h"]) & (lines["line"] == hot["l"]), "left")
             .groupBy("host", "doc_id", "text_hash")
