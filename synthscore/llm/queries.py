@@ -91,6 +91,20 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 from s
 """
 
+
+def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 with limits that do not rise with a host: 20 documents of one host, or 100 of the corpus."""
+    docs = table(spark, sf_dir, "documents")
+    return line_frequency.judge_documents(docs, host_limit=20, corpus_limit=100).drop("left_share")
+
+
+#: Line counts of the corpus beside those per host; all else as in OP9_SQL.
+OP9_SPREAD_SQL = OP9_SQL.replace("), hot as (", """), spread as (
+  select norm from lines group by norm having count(distinct doc_id) >= 100
+), hot as (""").replace("count(*) >= 20 and count(*) > 0.1e0 * host_docs",
+                        "count(*) >= 20 or l.norm in (select norm from spread)")
+
+
 def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -198,6 +212,7 @@ QUERIES = {
     "op7_exact_topk": op7_exact_topk,
     "op8_quality_gbdt": op8_quality_gbdt,
     "op9_line_frequency": op9_line_frequency,
+    "op9_line_spread": op9_line_spread,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -205,5 +220,6 @@ ORACLE_SQL = {
     "op2_url_rules": OP2_SQL,
     "op7_exact_topk": OP7_SQL,
     "op9_line_frequency": OP9_SQL,
+    "op9_line_spread": OP9_SPREAD_SQL,
     "op10_line_dedup": OP10_SQL,
 }
