@@ -54,31 +54,107 @@ def choose_terms(docs: list[np.ndarray], y: np.ndarray, max_terms: int, min_docs
     return np.sort(terms[best[chi[best] > 3.84]])  # 5 % level: others carry no sign of the class
 
 
+def _descend(fm: FactorizationMachine, docs: list[np.ndarray], y: np.ndarray, steps: int, rate: float, l2: float,
+             shared: bool):
+    """The machine after each step of full-batch Adam on the logistic loss.  ``shared``: one step size for
+    all weights and one for all vectors, so that a term moves by its gradient and rare terms by little."""
+    n, (m, factors) = len(y), fm.v.shape
+    blocks = [fm.cells(docs[i:i + 1000]) for i in range(0, n, 1000)]
+    row = np.concatenate([(r + 1000 * i).astype(np.int32) for i, (r, _) in enumerate(blocks)])
+    col = np.concatenate([c.astype(np.int32) for _, c in blocks])
+    del blocks
+    by_col = row[np.argsort(col, kind="stable")]
+    size, width = np.bincount(col, minlength=m), np.bincount(row, minlength=n)
+    terms, full = np.flatnonzero(size), np.flatnonzero(width)  # terms with cells, rows with cells
+    term_at, row_at = np.cumsum(size)[terms] - size[terms], np.cumsum(width)[full] - width[full]
+    theta = np.concatenate([[fm.bias], np.column_stack([fm.w, fm.v]).ravel()])
+    m1, m2 = np.zeros_like(theta), np.zeros(3) if shared else np.zeros_like(theta)
+    kind = np.concatenate([[0], np.tile([1, *[2] * factors], m)])
+    for step in range(1, steps + 1):
+        p = theta[1:].reshape(m, factors + 1)
+        z, sums = np.full(n, theta[0]), np.zeros((n, factors))
+        if len(row):
+            z[full] += np.add.reduceat((p[:, 0] - 0.5 * (p[:, 1:] ** 2).sum(axis=1))[col], row_at)
+            for f in range(factors):  # one factor at a time bounds the memory
+                sums[full, f] = np.add.reduceat(p[:, f + 1].copy()[col], row_at)
+        z += 0.5 * (sums**2).sum(axis=1)
+        d = (1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))) - y) / n
+        g = np.zeros_like(p)
+        if len(row):
+            g[terms, 0] = np.add.reduceat(d[by_col], term_at)
+            for f in range(factors):
+                g[terms, f + 1] = np.add.reduceat((d * sums[:, f])[by_col], term_at)
+        g[:, 1:] += (10 * l2 - g[:, :1]) * p[:, 1:]
+        g[:, 0] += l2 * p[:, 0]
+        g = np.concatenate([[d.sum()], g.ravel()])
+        m1 = 0.9 * m1 + 0.1 * g
+        size = np.array([g[0] ** 2, *(np.abs(g[kind == k]).max() ** 2 for k in (1, 2))]) if shared else g * g
+        m2 = 0.999 * m2 + 0.001 * size
+        scale = np.sqrt(m2 / (1 - 0.999**step)) + 1e-8
+        theta = theta - rate * (m1 / (1 - 0.9**step)) / (scale[kind] if shared else scale)
+        p = theta[1:].reshape(m, factors + 1)
+        yield FactorizationMachine(fm.terms, float(theta[0]), p[:, 0], p[:, 1:])
+
+
+def known_terms(docs: list[np.ndarray], min_docs: int) -> np.ndarray:
+    """All terms in ``min_docs`` rows or more, whether or not they carry a sign of the class alone."""
+    terms, df = np.unique(np.concatenate([*docs, np.empty(0, np.uint32)]), return_counts=True)
+    return terms[df >= min_docs].astype(np.uint32)
+
+
+def _start(docs, y, terms, max_terms, min_docs, factors, steps, rate, l2, seed, spread) -> FactorizationMachine:
+    """A machine over all ``terms`` in which those that tell the classes apart on their own are fitted;
+    the others have no weight and random vectors of size ``spread``."""
+    signed = choose_terms(docs, y, max_terms, min_docs).astype(np.uint32)
+    share, rng = y.mean(), np.random.default_rng(seed)
+    fm = FactorizationMachine(signed, float(np.log(share / (1 - share))), np.zeros(len(signed)), rng.normal(0, 0.05, (len(signed), factors)))
+    if len(signed):
+        for fm in _descend(fm, docs, y, steps, rate, l2, shared=False):
+            pass
+    w, v = np.zeros(len(terms)), rng.normal(0, 1, (len(terms), factors)) * spread
+    known = np.isin(signed, terms)  # a fit on fewer rows may know terms that are rare in them
+    at = np.searchsorted(terms, signed[known])
+    w[at], v[at] = fm.w[known], fm.v[known]
+    return FactorizationMachine(terms, fm.bias, w, v)
+
+
+def _loss(fm: FactorizationMachine, row: np.ndarray, col: np.ndarray, y: np.ndarray) -> float:
+    s = np.clip(fm.score(row, col, len(y)), 1e-6, 1 - 1e-6)
+    return float(-np.mean(y * np.log(s) + (1 - y) * np.log(1 - s)))
+
+
 def fit(docs: list[np.ndarray], y: np.ndarray, max_terms: int = 2048, min_docs: int = 3, factors: int = 4,
-        steps: int = 300, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> FactorizationMachine:
-    """Logistic loss, full-batch Adam.  Without both classes the score is the share of toxic rows."""
+        steps: int = 300, rate: float = 0.05, l2: float = 1e-4, seed: int = 7, patience: int = 40) -> FactorizationMachine:
+    """Weights and vectors of all terms in ``min_docs`` rows or more.
+
+    The terms with a sign of their own (``max_terms`` at most) are fitted first; from there all terms
+    are fitted together, so that a pair is found whose terms say nothing one by one.  As many steps are
+    taken as lower the loss of every fifth row, held back for that; then all rows are learned from.
+    Without both classes the score is the share of toxic rows.
+    """
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4))
-    terms = choose_terms(docs, y, max_terms, min_docs) if 0 < y.sum() < len(y) else np.empty(0, np.uint32)
-    fm = FactorizationMachine(terms.astype(np.uint32), float(np.log(share / (1 - share))), np.zeros(len(terms)),
-                              np.random.default_rng(seed).normal(0, 0.05, (len(terms), factors)))
+    terms = known_terms(docs, min_docs) if 0 < y.sum() < len(y) else np.empty(0, np.uint32)
     if not len(terms):
-        return fm
-    row, col = fm.cells(docs)
-    n, m = len(y), len(terms)
-    theta = np.concatenate([[fm.bias], fm.w, fm.v.ravel()])
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, steps + 1):
-        fm = FactorizationMachine(fm.terms, theta[0], theta[1:m + 1], theta[m + 1:].reshape(m, factors))
-        d = (fm.score(row, col, n) - y) / n
-        dv = np.empty_like(fm.v)
-        for f in range(factors):
-            x = fm.v[col, f]
-            dv[:, f] = np.bincount(col, d[row] * (np.bincount(row, x, n)[row] - x), m)
-        g = np.concatenate([[d.sum()], np.bincount(col, d[row], m) + l2 * fm.w, (dv + 10 * l2 * fm.v).ravel()])
-        m1 = 0.9 * m1 + 0.1 * g
-        m2 = 0.999 * m2 + 0.001 * g * g
-        theta = theta - rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-    return FactorizationMachine(fm.terms, theta[0], theta[1:m + 1], theta[m + 1:].reshape(m, factors))
+        return FactorizationMachine(terms, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, factors)))
+    how = (max_terms, min_docs, factors, steps, rate, l2, seed)
+    back = np.arange(len(y)) % 5 == 0
+    taken = 0
+    if back.any() and 0 < y[~back].sum() < (~back).sum():
+        learn, seen = [x for x, b in zip(docs, back) if not b], y[~back]
+        fm = _start(learn, seen, terms, *how, spread=0.01)
+        row, col = fm.cells([x for x, b in zip(docs, back) if b])
+        least = _loss(fm, row, col, y[back])
+        for k, fm in enumerate(_descend(fm, learn, seen, steps, rate, l2, shared=True), 1):
+            loss = _loss(fm, row, col, y[back])
+            if loss < least:
+                taken, least = k, loss
+            if k - taken >= patience:
+                break
+    fm = _start(docs, y, terms, *how, spread=0.01 if taken else 0.0)
+    for fm in _descend(fm, docs, y, taken, rate, l2, shared=True) if taken else ():
+        pass
+    says = (fm.w != 0) | fm.v.any(axis=1)  # the rest add nothing to a score
+    return FactorizationMachine(fm.terms[says], fm.bias, fm.w[says], fm.v[says])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, **params) -> FactorizationMachine:

@@ -1,6 +1,8 @@
 """Planted tables for the review's findings: each would fail with the cut that the review named."""
 
-from synthscore.llm import line_frequency
+import numpy as np
+
+from synthscore.llm import line_frequency, toxicity
 
 
 def test_lines_that_spread_or_hide_in_a_large_host(spark):
@@ -17,3 +19,18 @@ def test_lines_that_spread_or_hide_in_a_large_host(spark):
     assert gone(host_limit=20, corpus_limit=100) == set(range(120)) | set(range(1000, 1030))
     copies = spark.createDataFrame([(i % 60, f"{spread}\n{own(i % 60, 10)}", f"h{i}") for i in range(120)], docs.schema)
     assert all(r["kept"] for r in line_frequency.judge_documents(copies, corpus_limit=100).collect())  # 60 documents, each in two hosts
+
+
+def test_toxicity_fit_learns_a_pair_without_signs_of_its_own():
+    """Both of two terms or neither is toxic, each term alone says nothing: fit itself finds the pair."""
+    rng = np.random.default_rng(1)
+    x = np.repeat([[0, 0], [0, 1], [1, 0], [1, 1]], 200, axis=0)
+    docs = [np.unique(np.array([10 + i for i in range(2) if r[i]] + [100, *rng.integers(200, 260, 6)], np.uint32)) for r in x]
+    y = (x[:, 0] == x[:, 1]).astype(float)
+    fit = toxicity.fit(docs, y)
+    assert {10, 11, 100} <= set(fit.terms)
+    row, col = fit.cells(docs)
+    assert ((fit.score(row, col, len(docs)) > 0.5) == (y > 0)).mean() > 0.99
+    clean = [np.array(t, np.uint32) for t in ([100], [10, 100], [11, 100], [10, 11, 100])]  # no filler words to learn by heart
+    row, col = fit.cells(clean)
+    assert list(fit.score(row, col, 4) > 0.5) == [True, False, False, True]
