@@ -2,13 +2,15 @@
 
 A classifier learned from labelled rows (naive Bayes over hashed words) gives every document a
 posterior over the domains.  A document of n tokens and posterior p adds rate * n * p[k] expected
-tokens to domain k.  Projected-gradient least squares fits non-negative rates whose expected domain
-totals match the targets: each step needs one sum per domain over all documents, and only those sums
-and a domains x domains matrix reach the driver.
+tokens to domain k.  Projected-gradient least squares fits bounded rates whose expected domain
+totals match the targets: each step needs one aggregation over all documents, and only a sum per
+domain and a domains x domains matrix reach the driver.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,51 +73,92 @@ def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], buckets: i
     return per.select("doc_id", "text_hash", "rows", "tokens", *[(F.col(f"e{k}") / norm).alias(f"p{k}") for k in ks])
 
 
-def fit_rates(members: DataFrame, weights: list[float], total_tokens: float | None = None, steps: int = 20,
-              tolerance: float = 1e-4) -> tuple[Column, dict]:
+def fit_rates(members: DataFrame, weights: list[float], total_tokens: float | None = None, steps: int = 100,
+              tolerance: float = 1e-4, least: float = 0.0) -> tuple[Column, dict]:
     """Rates as a column over ``members``, and a report of targets and reached totals.
 
-    Minimises |A r - t|^2 over r >= 0 in the metric of A's token-weighted second moments, where the
-    step length is 1: r <- max(0, r - p . M^-1 (A r - t)).  ``total_tokens`` None: the smallest
-    total that shrinks no domain.  Each step is one aggregation; its residual is a number per domain.
+    The rates r >= ``least`` nearest to 1 (squares weighted by tokens) with A r = t: r = max(least, 1 + p . u).
+    Every step moves u by the gradient A r - t in the metric of the second moments of the rows that the
+    bound does not hold, halved until the dual objective falls; it is one aggregation whose sums are a
+    number per domain and pair of domains.  ``total_tokens`` None: the smallest total that shrinks no
+    domain, or with ``least`` 1 or more the total that needs the least change of the rates.  The report
+    says whether the tolerance was ``converged`` to; targets outside the span of the memberships are not.
     """
     ks = range(len(weights))
     mass = F.col("rows") * F.col("tokens")
     p = [F.col(f"p{k}") for k in ks]
-    sums = members.agg(*[F.coalesce(F.sum(mass * p[k]), F.lit(0.0)) for k in ks],
-                       *[F.coalesce(F.sum(mass * p[j] * p[k]), F.lit(0.0)) for j in ks for k in ks]).first()
-    have, moment = np.array(sums[:len(weights)]), np.array(sums[len(weights):]).reshape(len(weights), -1)
     share = np.array(weights, float) / sum(weights)
+    free = total_tokens is None and least >= 1  # the total follows: share . u = 0
+
+    def at(u: np.ndarray) -> tuple[Column, np.ndarray, np.ndarray, float]:
+        line = F.lit(1.0) + sum((p[k] * float(u[k]) for k in ks), F.lit(0.0))
+        rate, loose = F.greatest(F.lit(float(least)), line), line >= least
+        cost = F.when(loose, line * line / 2).otherwise(least * least / 2 + least * (line - least))
+        total = lambda c: F.coalesce(F.sum(mass * c), F.lit(0.0))
+        sums = members.agg(*[total(rate * p[k]) for k in ks], total(cost),
+                           *[total(F.when(loose, p[j] * p[k]).otherwise(0.0)) for j in ks for k in ks]).first()
+        return rate, np.array(sums[:len(ks)]), np.array(sums[len(ks) + 1:]).reshape(len(ks), -1), sums[len(ks)]
+
+    u = np.zeros(len(ks))
+    rate, reached, moment, cost = at(u)
+    have = reached if least <= 1 else np.array(members.agg(*[F.coalesce(F.sum(mass * p[k]), F.lit(0.0)) for k in ks]).first())
     held = np.where(share > 0, have / np.maximum(share, 1e-12), 0.0)
-    target = share * (held.max() if total_tokens is None else total_tokens)
-    inverse = np.linalg.pinv(moment, hermitian=True)
-    rate, reached, taken = F.lit(1.0), have, 0
-    while taken < steps and np.abs(reached - target).max() > tolerance * max(1.0, target.max()):
-        move = inverse @ (reached - target)
-        rate = F.greatest(F.lit(0.0), rate - sum((p[k] * float(move[k]) for k in ks), F.lit(0.0)))
-        taken += 1
-        reached = np.array(members.agg(*[F.coalesce(F.sum(mass * rate * p[k]), F.lit(0.0)) for k in ks]).first())
-    return rate, {"before": have.tolist(), "target": target.tolist(), "reached": reached.tolist(), "steps": taken}
-
-
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total_tokens: float | None = None,
-        keep_all: bool = True, max_rows: int = 20_000, seed: int = 11) -> DataFrame:
+    goal = held.max() if total_tokens is None else total_tokens
+    target = share * (reached.sum() if free else goal)
+    near = lambda: np.abs(reached - target).max() <= tolerance * max(1.0, target.max())
+    taken, stuck = 1, False
+    while taken < steps and not near() and not stuck and moment.any():
+        if free:
+            unit = np.trace(moment)  # tokens and shares in one scale, or the shares' row counts as zero
+            system = np.block([[moment / unit, -share[:, None]], [share[None, :], np.zeros((1, 1))]])
+            move = np.linalg.lstsq(system, np.append(-reached / unit, -share @ u), rcond=1e-12)[0][:-1]
+        else:
+            move = np.linalg.lstsq(moment, target - reached, rcond=1e-12)[0]
+        slope = float((reached - target) @ move)
+        length, stuck = 1.0, slope >= 0
+        while taken < steps and not stuck:
+            new = at(u + length * move)
+            taken += 1
+            fall = new[3] - cost - (0.0 if free else length * float(target @ move))
+            if fall <= 1e-4 * length * slope + 1e-12 * abs(cost):
+                u = u + length * move
+                rate, reached, moment, cost = new
+                target = share * (reached.sum() if free else goal)
+                break
+            length /= 2
+            stuck = length < 1e-6
+    return rate, {"before": have.tolist(), "target": target.tolist(), "reached": reached.tolist(), "steps": taken,
+                  "converged": bool(near())}
+
+
+def fit_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total_tokens: float | None = None,
+            keep_all: bool = True, max_rows: int = 20_000, seed: int = 11) -> tuple[DataFrame, dict]:
     """Rate and number of copies of every distinct row: doc_id, text_hash, rows, tokens, p_<domain>...,
-    rate, copies.
+    rate, copies; and the report of ``fit_rates``.
 
     ``copies`` rounds the rate up with the probability of its fraction, by a hash of the row, so
-    expected totals are kept; with ``keep_all`` no row falls out.  Empty tables give no rows; null
-    and blank texts have no tokens, and a rate like others of their posterior.
+    expected totals are kept; with ``keep_all`` rates are fitted at 1 or more, so that no row falls
+    out.  Empty tables give no rows; null and blank texts have no tokens, and a rate like others of
+    their posterior.
     """
     domains = sorted(targets)
     model = train(docs, labelled, domains, max_rows)
     members = written(posteriors(docs, model, domains), "memberships")
-    rate, _ = fit_rates(members, [targets[d] for d in domains])
+    rate, report = fit_rates(members, [targets[d] for d in domains], total_tokens, least=1.0 if keep_all else 0.0)
     out = members.withColumn("rate", rate)
     u = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.lit(2**30)) / F.lit(float(2**30))
     copies = (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
     return out.select("doc_id", "text_hash", "rows", "tokens", *[F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)],
-                      "rate", (F.greatest(F.lit(1), copies) if keep_all else copies).alias("copies"))
+                      "rate", copies.alias("copies")), report
+
+
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total_tokens: float | None = None,
+        keep_all: bool = True, max_rows: int = 20_000, seed: int = 11) -> DataFrame:
+    """The rows of ``fit_mix``; warns, with the report, where no rates reach the targets."""
+    out, report = fit_mix(docs, labelled, targets, total_tokens, keep_all, max_rows, seed)
+    if not report["converged"]:
+        warnings.warn(f"the memberships were not mixed to the targets: {report}", RuntimeWarning, stacklevel=2)
+    return out
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:

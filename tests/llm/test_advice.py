@@ -1,8 +1,9 @@
 """Planted tables for the review's findings: each would fail with the cut that the review named."""
 
 import numpy as np
+import pytest
 
-from synthscore.llm import line_frequency, toxicity
+from synthscore.llm import line_frequency, mixing, toxicity
 
 
 def test_lines_that_spread_or_hide_in_a_large_host(spark):
@@ -34,3 +35,21 @@ def test_toxicity_fit_learns_a_pair_without_signs_of_its_own():
     clean = [np.array(t, np.uint32) for t in ([100], [10, 100], [11, 100], [10, 11, 100])]  # no filler words to learn by heart
     row, col = fit.cells(clean)
     assert list(fit.score(row, col, 4) > 0.5) == [True, False, False, True]
+
+
+def test_mixing_by_copies_with_one_domain_over_95_percent(spark):
+    """The shares hold for the copies that are returned, not only for rates that are raised to 1 later."""
+    rng, targets = np.random.default_rng(2), {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+    langs = ["en"] * 1920 + ["de"] * 32 + ["es"] * 24 + ["fr"] * 24
+    rows = [(i, " ".join(f"{d}{x}" if x < 60 else f"all{x}" for x in rng.integers(0, 90, 40)), d) for i, d in enumerate(langs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labelled = docs.selectExpr("doc_id", "lang as domain")
+    out, report = mixing.fit_mix(docs, labelled, targets)
+    rows = out.collect()
+    assert report["converged"] and min(r["copies"] for r in rows) == 1 and min(r["rate"] for r in rows) >= 1
+    reached = {d: sum(r["copies"] * r["rows"] * r["tokens"] * r[f"p_{d}"] for r in rows) for d in targets}
+    assert all(abs(reached[d] / sum(reached.values()) - w) < 0.002 for d, w in targets.items())
+    half, report = mixing.fit_mix(docs, labelled, targets, total_tokens=60_000, keep_all=False)
+    assert report["converged"] and abs(sum(report["reached"]) - 60_000) < 100
+    with pytest.warns(RuntimeWarning, match="not mixed"):  # fewer tokens than the documents have, which all stay
+        mixing.mix(docs, labelled, targets, total_tokens=60_000)
