@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, licenses, line_dedup, line_frequency, mixing, packing, quality, topk, toxicity, url_rules
+from . import clusters, exact_dedup, jaccard, licenses, line_dedup, line_frequency, mixing, packing, periodic, quality, topk, toxicity, url_rules
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -202,6 +204,84 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.templates(spark))
 
 
+def planted_periods(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Words of a document, made periodic from some word on if crc32 of its id ends in 0."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, and the document without the repeats."""
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), planted_periods)
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    top = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("o"), r["start"].alias("start"), r["period"].alias("period"))))
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), (-F.col("top.o")).alias("length"),
+        F.col("top.period").alias("period"), F.floor(F.expr("-top.o * 1000 div top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_bit_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 centroids after 5 rounds, and every vector's nearest."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", clusters.quantised(F.col("embedding")).alias("v"))
+    return clusters.with_digest(*clusters.cluster(vectors, k=40, rounds=5, seed=2))
+
+
+def _op12_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every round is one step of named tables: sums of squared differences, nearest, floor of means."""
+    out = [f"""
+with v as materialized (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as materialized (
+  select cast(row_number() over (order by sha256('2:' || vec_id::varchar), v) - 1 as int) as cluster, v as c
+  from v order by sha256('2:' || vec_id::varchar), v limit {k}
+)"""]
+    for r in range(rounds + 1):
+        out.append(f""", a{r} as materialized (
+  select vec_id, v, cluster, d from (
+    select vec_id, v, cluster, d, row_number() over (partition by vec_id, v order by d, cluster) as place
+    from (select vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d
+          from v cross join c{r})
+  ) where place = 1
+)""")
+        if r < rounds:
+            out.append(f""", m{r} as (
+  select cluster, i, sum(x) as s, count(*) as n
+  from (select cluster, unnest(v) as x, generate_subscripts(v, 1) as i from a{r}) group by cluster, i
+), c{r + 1} as materialized (
+  select c.cluster, coalesce(n.c, c.c) as c
+  from c{r} c left join (select cluster, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as c from m{r} group by cluster) n using (cluster)
+)""")
+    return "".join(out) + f"""
+select vec_id, cluster, d as distance, cast(sum(d) over (partition by cluster) as bigint) as cluster_inertia,
+       cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} join c{rounds} using (cluster)
+"""
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts and the row of each that stays."""
+    return exact_dedup.duplicates(table(spark, sf_dir, "documents"), hash_all=True)
+
+
+OP13_SQL = r"""
+with t as (
+  select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t from documents
+)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by t) as group_size,
+       row_number() over w = 1 as kept, sha256(t) as text_sha256
+from t window w as (partition by t order by n desc, doc_id)
+"""
+
+
 QUERIES = {
     "op1_toxicity_fm": op1_toxicity_fm,
     "op2_url_rules": op2_url_rules,
@@ -214,6 +294,9 @@ QUERIES = {
     "op9_line_frequency": op9_line_frequency,
     "op9_line_spread": op9_line_spread,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_bit_plane_clusters": op12_bit_plane_clusters,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL = {
@@ -222,4 +305,6 @@ ORACLE_SQL = {
     "op9_line_frequency": OP9_SQL,
     "op9_line_spread": OP9_SPREAD_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op12_bit_plane_clusters": _op12_sql(),
+    "op13_exact_dedup": OP13_SQL,
 }
