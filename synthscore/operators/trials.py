@@ -146,17 +146,18 @@ def gain_vs_cost(pair_table: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ K8
-def complete_blocks(runs: DataFrame, n_seeds: int = 3, samplers: Sequence[str] = SAMPLER_ORDER):
+def complete_blocks(runs: DataFrame, n_seeds: int = 3, samplers: Sequence[str] = SAMPLER_ORDER, expected: DataFrame | None = None):
     """K8: (dataset, generator) blocks where every sampler has >= n_seeds finished seeds.
 
     Returns (blocks, dropped).  Blocks carry one mean column per sampler;
-    dropped blocks carry the reason text ``sampler:n/needed; ...`` in sampler order.
+    dropped blocks carry the reason text ``sampler:n/needed; ...`` in sampler order.  ``expected``
+    (a grid of studies) adds the blocks that never ran.
     """
     spark = runs.sparkSession
     order = spark.createDataFrame([(s, i) for i, s in enumerate(samplers)], "sampler string, s_order int")
     cells = runs.groupBy("dataset", "generator", "sampler").agg(
         F.count("best_objective").alias("n_ok"), F.avg("best_objective").alias("j_mean"))
-    scaffold = runs.select("dataset", "generator").distinct().crossJoin(F.broadcast(order))
+    scaffold = (runs if expected is None else expected).select("dataset", "generator").distinct().crossJoin(F.broadcast(order))
     c = scaffold.join(cells, ["dataset", "generator", "sampler"], "left").fillna(0, ["n_ok"])
     bad = F.col("n_ok") < n_seeds
     per_block = c.groupBy("dataset", "generator").agg(

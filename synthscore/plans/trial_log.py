@@ -14,10 +14,6 @@ from .registry import register
 K = T.STUDY_KEYS
 
 
-# every study is kept; where the best trial's number is a multiple of 3 the study counts as unfinished
-VSUMMARY_CTE = ("vsummary", """
-select * replace (case when best_trial_number % 3 = 0 then null else best_objective end as best_objective,
-                  case when best_trial_number % 3 = 0 then 'empty' else status end as status) from summary""")
 GRID_CTE = ("grid", f"""select d.dataset, g.generator, s.sampler, e.seed
   from (select distinct dataset from fx4_trials) d, (select distinct generator from fx4_trials) g,
        (select distinct sampler from fx4_trials) s, (select distinct seed from fx4_trials) e""")
@@ -140,41 +136,34 @@ def k7_pairwise(spark, sf_dir):
 
 BLOCK_CTE = ("blk", """
 select sc.dataset, sc.generator,
-       count_if(coalesce(c.n_ok, 0) < 2) as n_bad,
-       string_agg(case when coalesce(c.n_ok, 0) < 2 then sc.sampler || ':' || cast(coalesce(c.n_ok, 0) as varchar) || '/2' end,
+       count_if(coalesce(c.n_ok, 0) < 4) as n_bad,
+       string_agg(case when coalesce(c.n_ok, 0) < 4 then sc.sampler || ':' || cast(coalesce(c.n_ok, 0) as varchar) || '/4' end,
                   '; ' order by sc.s_order) as reason,
        max(case when sc.sampler = 'standard_tpe' then c.j_mean end) as j_standard_tpe,
        max(case when sc.sampler = 'multivariate_tpe' then c.j_mean end) as j_multivariate_tpe,
        max(case when sc.sampler = 'gp' then c.j_mean end) as j_gp
 from (select d.dataset, d.generator, o.sampler, o.s_order
-      from (select distinct dataset, generator from vsummary) d, sorder o) sc
+      from (select distinct dataset, generator from xgrid) d, sorder o) sc
 left join (select dataset, generator, sampler, count(best_objective) as n_ok, avg(best_objective) as j_mean
-           from vsummary group by dataset, generator, sampler) c
+           from summary group by dataset, generator, sampler) c
   on c.dataset = sc.dataset and c.generator = sc.generator and c.sampler = sc.sampler
 group by sc.dataset, sc.generator""")
 
 
-def _variant_summaries(spark, sf_dir):
-    open_ = F.col("best_trial_number") % 3 == 0
-    return summaries(spark, sf_dir).withColumns({
-        "best_objective": F.when(open_, F.lit(None).cast("double")).otherwise(F.col("best_objective")),
-        "status": F.when(open_, F.lit("empty")).otherwise(F.col("status"))})
-
-
 @register("k8_complete_blocks", trial_sql("""
 select dataset, generator, round(j_standard_tpe, 9) as j_standard_tpe, round(j_multivariate_tpe, 9) as j_multivariate_tpe,
-       round(j_gp, 9) as j_gp from blk where n_bad = 0""", VSUMMARY_CTE, ORDER_CTE, BLOCK_CTE))
+       round(j_gp, 9) as j_gp from blk where n_bad = 0""", GRID_CTE, XGRID_CTE, ORDER_CTE, BLOCK_CTE))
 def k8_complete_blocks(spark, sf_dir):
-    """K8: (dataset, generator) blocks where every sampler finished at least 2 seeds."""
-    blocks, _ = T.complete_blocks(_variant_summaries(spark, sf_dir), n_seeds=2)
+    """K8: (dataset, generator) blocks where every sampler finished all 4 seeds."""
+    blocks, _ = T.complete_blocks(summaries(spark, sf_dir), n_seeds=4, expected=_expected_grid(spark, sf_dir))
     return r9(blocks, "j_standard_tpe", "j_multivariate_tpe", "j_gp")
 
 
 @register("k8_dropped_blocks", trial_sql("select dataset, generator, reason from blk where n_bad > 0",
-                                         VSUMMARY_CTE, ORDER_CTE, BLOCK_CTE))
+                                         GRID_CTE, XGRID_CTE, ORDER_CTE, BLOCK_CTE))
 def k8_dropped_blocks(spark, sf_dir):
-    """K8: incomplete blocks with the reason text."""
-    _, dropped = T.complete_blocks(_variant_summaries(spark, sf_dir), n_seeds=2)
+    """K8: incomplete blocks of the expected grid with the reason text."""
+    _, dropped = T.complete_blocks(summaries(spark, sf_dir), n_seeds=4, expected=_expected_grid(spark, sf_dir))
     return dropped
 
 
@@ -412,13 +401,13 @@ WORK_TARGET = 36
 @register("k22_work_left", trial_sql(f"""
 select g.dataset, g.generator, g.sampler, g.seed, coalesce(s.n_attempted, 0) as n_attempted,
        greatest(0, {WORK_TARGET} - coalesce(s.n_attempted, 0)) as remaining
-from xgrid g left join vsummary s using ({KEYS_SQL})
-where not exists (select 1 from vsummary d where d.n_complete >= {WORK_TARGET} and d.dataset = g.dataset
+from xgrid g left join summary s using ({KEYS_SQL})
+where not exists (select 1 from summary d where d.n_complete >= {WORK_TARGET} and d.dataset = g.dataset
                   and d.generator = g.generator and d.sampler = g.sampler and d.seed = g.seed)""",
-    GRID_CTE, XGRID_CTE, VSUMMARY_CTE))
+    GRID_CTE, XGRID_CTE))
 def k22_work_left(spark, sf_dir):
     """Studies still to run and trials remaining (max(0, target - attempted))."""
-    w = T.work_left(_expected_grid(spark, sf_dir), _variant_summaries(spark, sf_dir), WORK_TARGET)
+    w = T.work_left(_expected_grid(spark, sf_dir), summaries(spark, sf_dir), WORK_TARGET)
     return w.withColumn("remaining", F.col("remaining").cast("bigint"))
 
 
@@ -474,12 +463,12 @@ select (select count(*) from runs) as n_loaded,
        (select count(*) from xgrid g where not exists (select 1 from runs r where r.dataset = g.dataset
           and r.generator = g.generator and r.sampler = g.sampler and r.seed = g.seed)) as n_missing,
        (select count(*) from (select {KEYS_SQL} from runs group by {KEYS_SQL} having count(*) > 1) d) as n_duplicate_keys""",
-    GRID_CTE, XGRID_CTE, VSUMMARY_CTE,
-    ("runs", f"select {KEYS_SQL}, best_objective from vsummary union all "
-             f"select {KEYS_SQL}, best_objective from vsummary where dataset = 'd0' and generator = 'g0'")))
+    GRID_CTE, XGRID_CTE,
+    ("runs", f"select {KEYS_SQL}, best_objective from summary union all "
+             f"select {KEYS_SQL}, best_objective from summary where dataset = 'd0' and generator = 'g0'")))
 def k27_validation(spark, sf_dir):
     """Validation notes (loaded vs expected, NULL best, missing cells, duplicate keys)."""
-    vs = _variant_summaries(spark, sf_dir).select(*K, "best_objective")
+    vs = summaries(spark, sf_dir).select(*K, "best_objective")
     runs = vs.unionByName(vs.where((F.col("dataset") == "d0") & (F.col("generator") == "g0")))
     return T.validation_notes(runs, _expected_grid(spark, sf_dir))
 
@@ -528,22 +517,22 @@ def k32_close_stuck(spark, sf_dir):
 @register("k33_unfinished", trial_sql(f"""
 select g.dataset, g.generator, g.sampler, g.seed, o.s_order as sampler_rank
 from xgrid g join sorder o using (sampler)
-where not exists (select 1 from vsummary s where s.status = 'completed' and s.dataset = g.dataset
+where not exists (select 1 from summary s where s.status = 'completed' and s.dataset = g.dataset
                   and s.generator = g.generator and s.sampler = g.sampler and s.seed = g.seed)""",
-    GRID_CTE, XGRID_CTE, VSUMMARY_CTE, ORDER_CTE))
+    GRID_CTE, XGRID_CTE, ORDER_CTE))
 def k33_unfinished(spark, sf_dir):
     """Unfinished studies in sampler order."""
-    u = T.unfinished(_expected_grid(spark, sf_dir), _variant_summaries(spark, sf_dir))
+    u = T.unfinished(_expected_grid(spark, sf_dir), summaries(spark, sf_dir))
     return u.withColumn("sampler_rank", F.col("sampler_rank").cast("int"))
 
 
 @register("k34_failed_summary", trial_sql(f"""
 select g.dataset, g.generator, g.sampler, g.seed, coalesce(s.status, 'failed') as status,
        case when s.status is null then 'no summary written' end as error, s.n_attempted
-from xgrid g left join vsummary s using ({KEYS_SQL})""", GRID_CTE, XGRID_CTE, VSUMMARY_CTE))
+from xgrid g left join summary s using ({KEYS_SQL})""", GRID_CTE, XGRID_CTE))
 def k34_failed_summary(spark, sf_dir):
     """A failed study still yields a summary row (status failed, error text)."""
-    f = T.failed_study_rows(_expected_grid(spark, sf_dir), _variant_summaries(spark, sf_dir))
+    f = T.failed_study_rows(_expected_grid(spark, sf_dir), summaries(spark, sf_dir))
     return f.select(*K, "status", "error", "n_attempted")
 
 
