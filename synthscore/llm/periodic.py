@@ -66,11 +66,12 @@ class Grammar:
 
     def _repair(self, state):
         """Replace repeated pairs until no document has one; what is left of the documents."""
-        done, keys, names = [], np.empty(0, np.int64), np.empty(0, np.int64)
+        done, keys, names, rng = [], np.empty(0, np.int64), np.empty(0, np.int64), np.random.default_rng(1)
         while len(state[0]) > 1:
             sym, doc, *_ = state
             codes, count = _pairs(sym[:-1], sym[1:])  # symbols belong to one document: pairs across two never repeat
-            rank = np.where(count[codes] > 1, count[codes] * len(codes) + codes, -1)
+            # pairs of one count in random order: in the order of the text a chain of them would be replaced one by one
+            rank = np.where(count > 1, count * len(count) + rng.permutation(len(count)), -1)[codes]
             live = np.zeros(int(doc[-1]) + 1, bool)
             live[doc[:-1][rank >= 0]] = True
             at = _chosen(rank)
