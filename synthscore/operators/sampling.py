@@ -110,7 +110,8 @@ def can_stratify(df: DataFrame, target: str) -> bool:
 
 def train_test_split(df: DataFrame, key: str, target: str | None, test_size: float, seed=42,
                      task: str = "classification") -> DataFrame:
-    """Adds ``split`` = 'train' / 'test'; stratified by class when allowed (P-7)."""
+    """Adds ``split`` = 'train' / 'test'; stratified by class when allowed (P-7).  Rows that repeat
+    a key follow it to one side."""
     strat = bool(target) and task == "classification" and can_stratify(df, target)
     if strat:
         quotas = class_test_quotas(df, target, test_size)
@@ -118,7 +119,7 @@ def train_test_split(df: DataFrame, key: str, target: str | None, test_size: flo
     else:
         n_test = df.agg(F.ceil(F.lit(float(test_size)) * F.count(F.lit(1))).alias("quota"))
         test = top_n_per_group(df, [], n_test, seed, key)
-    t = test.select(key).withColumn("_t", F.lit(True))
+    t = test.select(key).distinct().withColumn("_t", F.lit(True))  # rows of one key go to one side
     return df.join(t, key, "left").withColumn("split", F.when(F.col("_t"), F.lit("test")).otherwise(F.lit("train"))).drop("_t")
 
 

@@ -103,7 +103,7 @@ extra as (select * exclude (rn) from (select *, row_number() over (order by {_h(
 select * from pick union all select * from extra""")
 
 
-def _split_sql(src: str, test_size: float, seed: str) -> str:
+def split_sql(src: str, test_size: float, seed: str) -> str:
     return f"""
 with cc as (select target, count(*) as n_c from {src} group by target),
 t0 as (select target, n_c, ceil({test_size!r} * (select count(*) from {src})) as n_test, (select count(*) from {src}) as n from cc),
@@ -115,7 +115,7 @@ select s.*, case when s.id in (select id from rk join tq using (target) where rn
 from {src} s"""
 
 
-SP_CTE = ("sp", _split_sql("cl", CFG["test_size"], SEED_SPLIT))
+SP_CTE = ("sp", split_sql("cl", CFG["test_size"], SEED_SPLIT))
 
 
 def psql(body, *extra):
@@ -222,8 +222,8 @@ def e4_train_test_split(spark, sf_dir):
 @register("e5_train_val_test", psql(f"""
 select id, target, split from s1 where split = 'train'
 union all select id, target, case when split = 'test' then 'test' else 'val' end from s2""",
-    ("s1", _split_sql("cl", 0.2, "42t")),
-    ("hold", "select * exclude (split) from s1 where split = 'test'"), ("s2", _split_sql("hold", 0.5, "42tv"))))
+    ("s1", split_sql("cl", 0.2, "42t")),
+    ("hold", "select * exclude (split) from s1 where split = 'test'"), ("s2", split_sql("hold", 0.5, "42tv"))))
 def e5_train_val_test(spark, sf_dir):
     """E5: 80 / 10 / 10 split, stratified in both steps."""
     return E.train_val_test_split(cleaned(spark, sf_dir), KEY, TARGET, "42t").select(KEY, TARGET, "split")

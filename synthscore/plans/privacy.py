@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip01
 from ..operators import privacy as J
-from ..sources.fixtures import FX1_NUMERIC, fx1_real, fx1_synth, fx3_base, fx3_query, fx9_pred, with_fixtures
+from ..sources.fixtures import FX1_CATEGORICAL, FX1_NUMERIC, fx1_real, fx1_synth, fx3_base, fx3_query, fx9_pred, with_fixtures
 from .common import r9
 from .registry import register
 
 K = 2
+VECTOR_DIM = 64
 
 
 def _knn(spark, sf_dir):
@@ -108,28 +109,47 @@ def _privacy_table(spark, sf_dir):
             .withColumn("dcr_norm_parity", J.normalise_distance(F.col("dcr"), F.col("ref_parity"))))
 
 
+def _held_sql(prefix: str, key: str) -> str:
+    return f"cast('0x' || substr(md5('42{prefix}|' || cast({key} as varchar)), 1, 8) as bigint) / 4294967296e0 < 0.3e0"
+
+
+ATTACK_CTES = [
+    ("av", f"""select vec_id, 1 as member, {_held_sql('r', 'vec_id')} as held, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from fx3_base
+union all select vec_id, 0, {_held_sql('s', 'vec_id')}, unnest(embedding)::double, generate_subscripts(embedding, 1) from fx3_query"""),
+    ("am", "select member, i, avg(x) as m, greatest(var_pop(x), 1e-9) as v from av where not held group by member, i"),
+    ("ap", """select av.member, av.vec_id, round(sum(-0.5e0 * (ln(r.v) + (x - r.m) * (x - r.m) / r.v) + 0.5e0 * (ln(s.v) + (x - s.m) * (x - s.m) / s.v)), 6) as p
+from av join am r on r.i = av.i and r.member = 1 join am s on s.i = av.i and s.member = 0 where held group by av.member, av.vec_id"""),
+    ("aa", """select round((sum(case when member = 1 then rk end) - count_if(member = 1) * (count_if(member = 1) + 1) / 2e0)
+              / (count_if(member = 1) * count_if(member = 0)), 5) as mia_auc
+from (select *, rank() over (order by p) + (count(*) over (partition by p) - 1) / 2e0 as rk from ap)"""),
+]
+
+
 @register("j7_privacy_risk", psql(f"""
 select cast(0 as bigint) as grp, round(dcr, 9) as dcr, round(nndr, 9) as nndr,
-       round(least(greatest(nndr, 0e0), 1e0), 9) as nndr_norm, round(dn, 9) as dcr_norm,
-       round(mia_auc, 9) as mia_auc,
+       round(least(greatest(nndr, 0e0), 1e0), 9) as nndr_norm, round(dn, 9) as dcr_norm, mia_auc,
        round(least(greatest((0.5e0 * least(greatest(mia_auc, 0e0), 1e0)
                       + 0.3e0 * least(greatest(1e0 - least(greatest(nndr, 0e0), 1e0), 0e0), 1e0)
                       + 0.2e0 * least(greatest(1e0 - dn, 0e0), 1e0)) / 1e0, 0e0), 1e0), 9) as privacy_risk
-from (select *, (select (sum(case when y_true = 1 then rk end) - count_if(y_true = 1) * (count_if(y_true = 1) + 1) / 2e0)
-                        / (count_if(y_true = 1) * count_if(y_true = 0))
-                 from (select *, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2e0 as rk from fx9_pred)) as mia_auc, case when ref_intended <= 1e-12 then 0e0 else least(greatest(dcr / (dcr + ref_intended), 0e0), 1e0) end as dn
-      from priv)""", SAMPLE_CTE, NNS_CTE, PRIV_CTE, fixtures=("fx9_pred",)))
+from (select *, case when ref_intended <= 1e-12 then 0e0 else least(greatest(dcr / (dcr + ref_intended), 0e0), 1e0) end as dn
+      from priv), aa""", SAMPLE_CTE, NNS_CTE, PRIV_CTE, *ATTACK_CTES))
 def j7_privacy_risk(spark, sf_dir):
-    """Privacy risk from the attack AUC (here of the fixed predictions), NNDR and DCR (converted
-    from safety to risk), weights .5 / .3 / .2."""
-    auc = J.roc_auc(fx9_pred(spark, sf_dir), "y_true", "score").select(F.col("auc").alias("mia_auc"))
+    """Privacy risk of the query vectors against the base vectors: attack AUC over their components,
+    NNDR and DCR (converted from safety to risk), weights .5 / .3 / .2."""
+    names = [f"x{i}" for i in range(VECTOR_DIM)]
+
+    def parts(df, *extra):
+        return df.select("vec_id", *extra, *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+
+    auc = J.batched_attack_auc(parts(fx3_base(spark, sf_dir)), parts(fx3_query(spark, sf_dir), F.lit(0).cast("bigint").alias("trial_id")),
+                               names, "vec_id", "vec_id").select(F.round("auc", 5).alias("mia_auc"))
     t = _privacy_table(spark, sf_dir).crossJoin(auc)  # one row
     nn_norm = clip01(F.col("nndr"))
     risks = {"mia_auc": clip01(F.col("mia_auc")), "nndr": clip01(F.lit(1.0) - nn_norm),
              "dcr": clip01(F.lit(1.0) - F.col("dcr_norm_intended"))}
     out = t.select("grp", "dcr", "nndr", nn_norm.alias("nndr_norm"), F.col("dcr_norm_intended").alias("dcr_norm"), "mia_auc",
                    J.privacy_risk(risks).alias("privacy_risk"))
-    return r9(out, "dcr", "nndr", "nndr_norm", "dcr_norm", "mia_auc", "privacy_risk")
+    return r9(out, "dcr", "nndr", "nndr_norm", "dcr_norm", "privacy_risk")
 
 
 @register("j5_roc_auc", with_fixtures("""
@@ -172,9 +192,8 @@ def j4_batched_attack(spark, sf_dir):
 
 @register("j4_membership_attack")
 def j4_membership_attack(spark, sf_dir):
-    """Membership-attack AUC of candidate 0 against the real half (random forest, 30 % holdout)."""
-    from ..operators.privacy import membership_attack_auc
+    """Membership-attack AUC of every candidate against the real half (random forest, 30 % holdout)."""
     key = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rk")
-    real = fx1_real(spark, sf_dir).select(key, *FX1_NUMERIC)
-    synth = fx1_synth(spark, sf_dir).where(F.col("trial_id") == 0).select(key, *FX1_NUMERIC)
-    return membership_attack_auc(real, synth, FX1_NUMERIC, "rk", "rk")
+    real = fx1_real(spark, sf_dir).select(key, *FX1_NUMERIC, *FX1_CATEGORICAL)
+    synth = fx1_synth(spark, sf_dir).select("trial_id", key, *FX1_NUMERIC, *FX1_CATEGORICAL)
+    return J.membership_attack_auc(real, synth, FX1_NUMERIC, FX1_CATEGORICAL, "rk")
