@@ -66,42 +66,34 @@ def document_lines(docs: DataFrame, host: str) -> DataFrame:
             .groupBy("host", "line", "doc_id", "text_hash").agg(F.sum("n_words").alias("n_words")))
 
 
-def frequent_lines(lines: DataFrame, min_docs: int, max_share: float, host_limit: int | None = None,
-                   corpus_limit: int | None = None) -> DataFrame:
-    """(host, line, n_docs) of lines in at least ``min_docs`` documents of a host and in more than
-    ``max_share`` of them, of lines in ``host_limit`` documents of a host however large it is, and of
-    lines in ``corpus_limit`` distinct documents of all hosts together, in every host that has them.
-    Counts are summed before the shuffle, so a line or host that most documents share is no hot key."""
-    per_line = lines.groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-    hosts = (lines.groupBy("host", "doc_id", "text_hash").agg(F.lit(1).alias("one"))
-             .groupBy("host").agg(F.count("*").alias("host_docs")))
-    hot = (per_line.where(F.col("n_docs") >= min_docs)
-           .join(hosts, per_line["host"].eqNullSafe(hosts["host"]))
-           .where(F.col("n_docs") > F.lit(max_share) * F.col("host_docs"))
-           .select(per_line["host"], "line", "n_docs"))
-    if host_limit is not None:
-        hot = hot.unionByName(per_line.where(F.col("n_docs") >= host_limit))
-    if corpus_limit is not None:  # a document that several hosts hold counts once
-        spread = (lines.groupBy("line", "doc_id", "text_hash").agg(F.lit(1).alias("one"))
-                  .groupBy("line").agg(F.count("*").alias("corpus_docs")).where(F.col("corpus_docs") >= corpus_limit))
-        hot = hot.unionByName(per_line.join(spread, "line", "left_semi").select("host", "line", "n_docs"))
-    return hot if host_limit is None and corpus_limit is None else hot.distinct()
-
-
-def judge_documents(docs: DataFrame, min_docs: int = 20, max_share: float = 0.1, min_left: float = 0.3,
-                    min_words: int = 50, host: str = "source", host_limit: int | None = None,
-                    corpus_limit: int | None = None) -> DataFrame:
+def frequent_lines(lines: DataFrame, host_limit: int, corpus_limit: int) -> DataFrame:
+    """(host, line) of lines in ``host_limit`` distinct documents of a host, however large the host is,
+    and of lines in ``corpus_limit`` distinct documents of all hosts together, in every host that has
+    them.  Counts are summed before the shuffle, so a line that most documents share is no hot key."""
+    per_host = lines.groupBy("host", "line").agg(F.count("*").alias("n"))
+    # a document that several hosts hold counts once
+    spread = (lines.groupBy("line", "doc_id", "text_hash").agg(F.lit(1).alias("one"))
+              .groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= corpus_limit))
+    everywhere = per_host.join(spread, "line", "left_semi")
+    return per_host.where(F.col("n") >= host_limit).unionByName(everywhere).select("host", "line").distinct()
+
+
+def judge_documents(docs: DataFrame, host_limit: int = 20, corpus_limit: int = 100, min_left: float = 0.75,
+                    min_words: int = 50, host: str = "source") -> DataFrame:
     """Base statistics, base rule and line-frequency verdict per document.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     left_share (words that remain after frequent lines are taken out, as a share; null without
-    words).  A document fails the base rule with fewer than ``min_words`` words or with more than
-    half of them in repeated 3-word windows; it is also rejected when less than ``min_left`` of its
-    words remain.  Null and empty texts have no words and fail.  Rows with a null ``host`` form one
-    host.  Repeated rows get equal results; a null doc_id counts as one id.
+    words).  A line is frequent in a host where at least ``host_limit`` documents of the host hold it,
+    and everywhere if at least ``corpus_limit`` documents hold it.  A document fails the base rule with
+    fewer than ``min_words`` words or with more than half of them in repeated 3-word windows; it is
+    also rejected when less than ``min_left`` of its words remain.  Null and empty texts have no words
+    and fail.  Rows with a null ``host`` form one host.  Repeated rows get equal results and count as
+    one document; a null doc_id counts as one id.  Texts of any length are read whole; an empty table
+    gives an empty result; columns other than doc_id, text and ``host`` are ignored.
     """
-    lines = written(document_lines(docs.select("doc_id", "text", host), host), "document-lines")  # read three times, four with corpus_limit
-    hot = frequent_lines(lines, min_docs, max_share, host_limit, corpus_limit).withColumnRenamed("host", "h").withColumnRenamed("line", "l")
+    lines = written(document_lines(docs.select("doc_id", "text", host), host), "document-lines")  # read three times
+    hot = frequent_lines(lines, host_limit, corpus_limit).withColumnRenamed("host", "h").withColumnRenamed("line", "l")
     lost = (lines.join(hot, lines["host"].eqNullSafe(hot["h"]) & (lines["line"] == hot["l"]), "left")
             .groupBy("host", "doc_id", "text_hash")
             .agg((F.sum(F.when(F.col("l").isNull(), F.col("n_words")).otherwise(0)) / F.sum("n_words")).alias("left_share")))

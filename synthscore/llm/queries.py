@@ -72,11 +72,11 @@ with d as (
   select doc_id, host, no_host, norm, sum(len(norm) - len(replace(norm, ' ', '')) + 1) as n_words
   from (select doc_id, host, no_host, trim(regexp_replace(lower(unnest(ls)), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from d)
   group by doc_id, host, no_host, norm
-), hosts as (
-  select host, no_host, count(distinct doc_id) as host_docs from lines group by host, no_host
+), spread as (
+  select norm from lines group by norm having count(distinct doc_id) >= 100
 ), hot as (
-  select l.host, l.no_host, l.norm from lines l join hosts h using (host, no_host)
-  group by l.host, l.no_host, l.norm, host_docs having count(*) >= 20 and count(*) > 0.1e0 * host_docs
+  select host, no_host, norm from lines
+  group by host, no_host, norm having count(*) >= 20 or norm in (select norm from spread)
 ), lost as (
   select l.doc_id, sum(case when hot.norm is null then n_words else 0 end)::double / sum(n_words) as left_share
   from lines l left join hot using (host, no_host, norm) group by l.doc_id
@@ -89,24 +89,11 @@ with d as (
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and left_share >= 0.3e0 as kept
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and left_share >= 0.75e0 as kept
 from s
 """
 
 
-def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9 with limits that do not rise with a host: 20 documents of one host, or 100 of the corpus."""
-    docs = table(spark, sf_dir, "documents")
-    return line_frequency.judge_documents(docs, host_limit=20, corpus_limit=100).drop("left_share")
-
-
-#: Line counts of the corpus beside those per host; all else as in OP9_SQL.
-OP9_SPREAD_SQL = OP9_SQL.replace("), hot as (", """), spread as (
-  select norm from lines group by norm having count(distinct doc_id) >= 100
-), hot as (""").replace("count(*) >= 20 and count(*) > 0.1e0 * host_docs",
-                        "count(*) >= 20 or l.norm in (select norm from spread)")
-
-
 def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -292,7 +279,6 @@ QUERIES = {
     "op7_exact_topk": op7_exact_topk,
     "op8_quality_gbdt": op8_quality_gbdt,
     "op9_line_frequency": op9_line_frequency,
-    "op9_line_spread": op9_line_spread,
     "op10_line_dedup": op10_line_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_bit_plane_clusters": op12_bit_plane_clusters,
@@ -303,7 +289,6 @@ ORACLE_SQL = {
     "op2_url_rules": OP2_SQL,
     "op7_exact_topk": OP7_SQL,
     "op9_line_frequency": OP9_SQL,
-    "op9_line_spread": OP9_SPREAD_SQL,
     "op10_line_dedup": OP10_SQL,
     "op12_bit_plane_clusters": _op12_sql(),
     "op13_exact_dedup": OP13_SQL,

@@ -5,6 +5,8 @@ import pytest
 
 from synthscore.llm import line_frequency, mixing, toxicity
 
+from ..conftest import SF_CHECK
+
 
 def test_lines_that_spread_or_hide_in_a_large_host(spark):
     """One line in 120 documents of 40 hosts (3 each), one in 3 % of a host with 1000 documents."""
@@ -14,12 +16,25 @@ def test_lines_that_spread_or_hide_in_a_large_host(spark):
     rows += [(i, f"{hidden}\n{own(i, 10)}" if i < 1030 else own(i, 70), "large") for i in range(1000, 2000)]
     rows += [(i, own(i, 70), f"h{i % 40}") for i in range(2000, 2400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    gone = lambda **limits: {r["doc_id"] for r in line_frequency.judge_documents(docs, **limits).collect() if not r["kept"]}
-    assert gone(host_limit=20) == set(range(1000, 1030))
-    assert gone(corpus_limit=100) == set(range(120))
-    assert gone(host_limit=20, corpus_limit=100) == set(range(120)) | set(range(1000, 1030))
+    gone = lambda d, **limits: {r["doc_id"] for r in line_frequency.judge_documents(d, **limits).collect() if not r["kept"]}
+    none = 10**9
+    assert gone(docs, corpus_limit=none) == set(range(1000, 1030))
+    assert gone(docs, host_limit=none) == set(range(120))
+    assert gone(docs) == set(range(120)) | set(range(1000, 1030))  # the registered limits
+    assert gone(docs, host_limit=none, corpus_limit=121) == set()
     copies = spark.createDataFrame([(i % 60, f"{spread}\n{own(i % 60, 10)}", f"h{i}") for i in range(120)], docs.schema)
-    assert all(r["kept"] for r in line_frequency.judge_documents(copies, corpus_limit=100).collect())  # 60 documents, each in two hosts
+    assert all(r["kept"] for r in line_frequency.judge_documents(copies).collect())  # 60 documents, each in two hosts
+
+
+@pytest.mark.parametrize("sf_dir", [SF_CHECK, "/root/testdata/sf0.1"])
+def test_lines_decide_in_the_real_table(spark, sf_dir):
+    """Documents that pass the base rule are rejected by their lines, few of them, each with under three quarters left."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = line_frequency.judge_documents(docs).collect()
+    lost = [r for r in rows if not r["base_failed"] and not r["kept"]]
+    assert 0 < len(lost) < 0.02 * len(rows)
+    assert all(r["left_share"] < 0.75 for r in lost)
+    assert all(r["left_share"] >= 0.75 for r in rows if r["kept"])
 
 
 def test_toxicity_fit_learns_a_pair_without_signs_of_its_own():

@@ -128,7 +128,7 @@ def test_mixing(spark, docs, none):
 
 
 def test_line_frequency(docs, none):
-    rows = line_frequency.judge_documents(docs, min_docs=2, max_share=0.1).collect()
+    rows = line_frequency.judge_documents(docs, host_limit=2).collect()
     assert ids(rows) == WANT
     got = {r["doc_id"]: r for r in rows}
     assert got[3]["n_words"] == 0 and got[3]["base_failed"] and not got[3]["kept"]
