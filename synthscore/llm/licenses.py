@@ -3,12 +3,15 @@
 All rolling word k-gram hashes of the documents are joined with the template positions that hold
 the same k-gram.  A hit at word p of a document and word t of a template votes for the diagonal
 p - t; a copy of the template gathers its votes on one diagonal, an edited copy on neighbouring
-ones.  Votes are aggregated by diagonal, near diagonals are merged, and the spans are verified by
-the share of the template's k-grams that they hold and by their length.
+ones.  Votes are aggregated by diagonal and near diagonals are merged.  Stray k-grams can stretch a
+merged cluster over half a document, so its spans are verified window by window: the score is the
+best share of the template's k-grams that stand, in their order, in a window of bounded length.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,14 +84,56 @@ def gram_rows(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(grams, "doc_id long, text_hash long, n_words long, start long, grams array<long>")
 
 
+def best_window(hits: list[tuple[int, int]], width: int) -> int:
+    """Most template positions that rise strictly with the words of a window of ``width`` words.
+    ``hits``: (word, template position)."""
+    hits = sorted(set(hits), key=lambda h: (h[0], -h[1]))  # of one word only one position counts
+    best, hi = 0, 0
+    for lo in range(len(hits)):
+        if lo and hits[lo][0] == hits[lo - 1][0]:
+            continue  # a window that begins at the same word
+        while hi < len(hits) and hits[hi][0] < hits[lo][0] + width:
+            hi += 1
+        if hi - lo <= best:
+            continue
+        tails: list[int] = []
+        for _, t in hits[lo:hi]:
+            at = bisect_left(tails, t)
+            tails[at:at + 1] = [t]
+        best = max(best, len(tails))
+    return best
+
+
+def _with_share(spans: DataFrame, max_stretch: float) -> DataFrame:
+    """``share`` of the template's k-grams that a cluster of hits holds: all on one diagonal for an exact
+    phrase, in the best window for a notice."""
+    kept = [c for c in spans.columns if c != "hits"]
+
+    def judged(batches):
+        for b in batches:
+            share = []
+            for hits, n, template, exact in zip(*(b.column(c).to_pylist() for c in ("hits", "n_grams", "template", "exact"))):
+                if template < 0:
+                    share.append(0.0)
+                elif exact or len(hits) == 1:
+                    share.append(len(hits) / n)
+                else:
+                    share.append(best_window([(h["p"], h["t"]) for h in hits], int(max_stretch * (n + K - 1)) - K + 1) / n)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(share, pa.float64())], [*kept, "share"])
+    return spans.mapInArrow(judged, ", ".join(f"`{n}` {t}" for n, t in spans.select(*kept).dtypes) + ", share double")
+
+
 def scan(docs: DataFrame, rules: DataFrame, gap: int = 3, min_cover: float = 0.7, max_stretch: float = 1.5) -> DataFrame:
     """Licence labels per document.
 
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, one row per
     input row.  An exact phrase counts at every diagonal that holds all of its k-grams.  A notice
-    is found where diagonals at most ``gap`` apart hold together ``min_cover`` of its k-grams in at
-    most ``max_stretch`` times its length.  ``score`` is the largest share held: 1 for a whole
-    phrase or notice.  Null and empty texts have no words and no labels; repeated rows stay.
+    is found where a cluster of diagonals at most ``gap`` apart holds ``min_cover`` of its k-grams, in
+    their order, within ``max_stretch`` times its length; other hits of the cluster do not matter.
+    ``score`` is the largest such share, found or not: 1 for a whole phrase or notice.  Null and empty
+    texts have no words and no labels; a null doc_id is passed on; repeated rows stay.  Texts of any
+    length are scanned whole; an empty table gives an empty result; columns other than doc_id and text
+    are ignored.
     """
     doc, template = ["doc_id", "text_hash"], ["template", "label", "exact", "n_grams"]
     hits = (gram_rows(docs).select(*doc, "n_words", "start", F.posexplode("grams").alias("i", "gram"))
@@ -103,13 +148,10 @@ def scan(docs: DataFrame, rules: DataFrame, gap: int = 3, min_cover: float = 0.7
     votes = votes.withColumn("step", F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= gap, 0).otherwise(1))
     votes = votes.withColumn("cluster", F.when(F.col("exact"), F.col("diagonal")).otherwise(F.sum("step").over(by)))
     spans = (votes.groupBy(*doc, *template, "cluster")
-             .agg(F.max("n_words").alias("n_words"), F.sum("votes").alias("votes"), F.min("p0").alias("p0"), F.max("p1").alias("p1"),
-                  F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("held")))
-    share = F.col("held") / F.col("n_grams")
-    near = F.col("p1") - F.col("p0") + K <= max_stretch * (F.col("n_grams") + K - 1)
-    spans = spans.withColumns({
-        "base": F.col("exact") & (F.col("held") == F.col("n_grams")),
-        "share": F.when((F.col("template") >= 0) & near, share).otherwise(F.lit(0.0))})
+             .agg(F.max("n_words").alias("n_words"), F.sum("votes").alias("votes"), F.min("p0").alias("p0"),
+                  F.flatten(F.collect_list(F.transform("held", lambda t: F.struct((F.col("diagonal") + t).alias("p"), t.alias("t"))))).alias("hits")))
+    spans = _with_share(spans, max_stretch)
+    spans = spans.withColumn("base", F.col("exact") & (F.col("template") >= 0) & (F.col("share") == 1))
     found = F.col("base") | (~F.col("exact") & (F.col("template") >= 0) & (F.col("share") >= min_cover))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     out = spans.groupBy(*doc).agg(
