@@ -16,11 +16,11 @@ SPACE = r"\x20\x09-\x0D"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.  Where it is unset, a private folder is
-    made, but only for a local master: on a cluster that would be a folder others cannot see."""
+    """This application's folder in the shared one named by ``spark.checkpoint.dir``.  Where that is
+    unset, a private folder is made, but only for a local master: on a cluster others cannot see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return base
+        return f"{base}/synthscore-{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc = spark.sparkContext
@@ -29,6 +29,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this application.  Results that are not written yet read them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet to a new folder of the shared scratch and read it back: the lineage
     is cut and a lost executor costs a re-read of files, not a recomputation."""
@@ -37,26 +43,6 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_totals(rows: DataFrame, keys: list[str], tag: str, totals: dict, salts: int = 64) -> DataFrame:
-    """``rows`` with aggregates of their group, for groups of any size.
-
-    ``totals``: name -> (aggregate of rows, aggregate function of the partial results).  Rows are
-    dealt out by their key and a salt from ``tag``, a column that differs among the rows of a group
-    and is the same whenever it is computed; a group's total goes back to the salts that it uses, so
-    there are at most as many copies of totals as rows, and no task takes a whole group.  Null keys
-    are a group of their own.
-    """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(tag), F.lit(salts)).cast("int"))
-    parts = salted.groupBy(*keys, "_salt").agg(*[first.alias(n) for n, (first, _) in totals.items()])
-    whole = (parts.groupBy(*keys).agg(*[then(n).alias(n) for n, (_, then) in totals.items()], F.collect_set("_salt").alias("_salts"))
-             .withColumn("_salt", F.explode("_salts")).drop("_salts"))
-    whole = whole.withColumnsRenamed({k: f"_key_{k}" for k in keys}).withColumnRenamed("_salt", "_its")
-    on = (F.col("_salt") == F.col("_its"))
-    for k in keys:
-        on &= F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    return salted.join(whole, on).drop("_salt", "_its", *[f"_key_{k}" for k in keys])
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the third of the ids that no model learns from: crc32(doc_id as text) mod 3 = 1."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
@@ -66,14 +52,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int)
     """(doc_id, text, label) of at most ``limit`` labelled rows outside the held-out third.
 
     The ids with the smallest hashes are taken, so the sample is the same in every run and does
-    not depend on partitioning.  ``limit`` bounds what a fit sees; scoring covers all rows.
+    not depend on partitioning.  ``limit`` bounds the rows that a fit sees, also where an id is
+    repeated: equal rows count once, and of the different texts the ``limit`` first in the order of
+    their hashes are learned from.  Scoring covers all rows.
     """
     y = F.col(label).cast("int")
     rows = (labels.select("doc_id", y.alias("label"))
             .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
             .groupBy("doc_id").agg(F.max("label").alias("label"))
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(rows), "doc_id")
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(rows), "doc_id")
+    texts = texts.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
+    return texts.orderBy(F.xxhash64("doc_id"), "doc_id", "_h").limit(limit).drop("_h")
 
 
 # words of letters, digits and every non-ASCII character, on lower-cased UTF-8

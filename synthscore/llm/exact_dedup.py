@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, with_totals, written
+from ..operators.spread import with_totals
+from .common import SPACE, written
 
 #: Bits of the bitmap (16 MB): a proven bound on what is broadcast.
 SLOTS = 2**27

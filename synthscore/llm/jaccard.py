@@ -234,18 +234,20 @@ def _verify_blocks(percent: int):
     return check
 
 
-def _compare_open(rest: DataFrame, sets: DataFrame, percent: int, block_items: int) -> DataFrame:
+def _compare_open(rest: DataFrame, sets: DataFrame, percent: int, block_items: int, block_sets: int) -> DataFrame:
     """Links between the components that meet in open buckets.
 
     Components joined through open buckets form a family; a set goes to its family once, with its
-    bucket keys.  A family is cut into blocks of about ``block_items`` shingles, and each pair of
-    blocks is one task, so a family of any size is compared without one large group.
+    bucket keys.  A family is cut into blocks of about ``block_items`` shingles or ``block_sets`` sets,
+    whichever is less, and each pair of blocks is one group, so a family of any size is compared
+    without one large group.
     """
     families = connected_components(rest.select(F.col("lo").alias("u"), F.col("component").alias("v")).where("u != v").distinct())
     families = families.select(F.col("node").alias("component"), F.col("component").alias("family"))
     nodes = (rest.groupBy("node", "component").agg(F.collect_list(F.col("key") * 4 + F.col("role")).alias("keys"))
              .join(families, "component"))
-    blocks = nodes.groupBy("family").agg(F.ceil(F.sum("node.n") / block_items).cast("int").alias("blocks"))
+    blocks = nodes.groupBy("family").agg(F.greatest(
+        F.ceil(F.sum("node.n") / block_items), F.ceil(F.count("*") / block_sets)).cast("int").alias("blocks"))
     m = nodes.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("family", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "keys",
@@ -265,7 +267,7 @@ def _open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return m.join(per.select("key", "lo"), "key")
 
 
-def similar_components(docs: DataFrame, size: int = 3, percent: int = 90, block_items: int = 500_000) -> DataFrame:
+def similar_components(docs: DataFrame, size: int = 3, percent: int = 90, block_items: int = 500_000, block_sets: int = 400) -> DataFrame:
     """Components of rows whose shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
 
     Returns doc_id, n_shingles, component_id for every row: component_id is the smallest doc_id
@@ -295,7 +297,7 @@ def similar_components(docs: DataFrame, size: int = 3, percent: int = 90, block_
     labels = connected_components(links)
     rest = written(_open_buckets(members, labels), "open-buckets")
     if not rest.isEmpty():
-        more = written(_compare_open(rest, sets, percent, block_items), "links")
+        more = written(_compare_open(rest, sets, percent, block_items, block_sets), "links")
         labels = connected_components(links.unionByName(more))
     named = classes.select(node.alias("node"), "rep_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("rep_id").alias("component_id"))

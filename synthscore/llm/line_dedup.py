@@ -1,15 +1,18 @@
 """Line dedup against levelled sorted runs of line hashes.
 
-Documents come in batches of ascending id.  A batch's line hashes are anti-joined with the runs of
-all earlier batches; the hashes that are new, with the smallest id that holds them, become a run of
-level 0.  Whenever a level has ``fanout`` runs they are compacted into one run of the next level, so
-a batch meets few runs.  Runs are bucketed tables sorted by hash: neither the anti-join nor a
-compaction shuffles them.  A line of a batch stays where its document is the one its hash came with.
+Documents come in batches of ascending id, four at least and more where a batch would pass
+``batch_rows`` line hashes.  A batch's line hashes are anti-joined with the runs of all earlier batches;
+the hashes that are new, with the smallest id that holds them, become a run of level 0.  Whenever a
+level has ``fanout`` runs they are compacted into one run of the next level, which is what later
+batches read.  Runs are bucketed tables, one sorted file per bucket, and are read in that order: an
+anti-join neither shuffles nor sorts them.  A line of a batch stays where its document is the one its
+hash came with.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from dataclasses import dataclass, field
 
@@ -44,8 +47,13 @@ class Runs:
 
     spark: SparkSession
     buckets: int
-    fanout: int = 4
+    fanout: int = 2
     levels: list[list[DataFrame]] = field(default_factory=list)
+    read: list[int] = field(default_factory=list)  # the level of every run that a batch was joined with
+
+    def __post_init__(self) -> None:
+        # a bucket of one sorted file is read as sorted; Spark checks that it is one file
+        self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def _store(self, df: DataFrame) -> DataFrame:
         name = f"line_run_{uuid.uuid4().hex}"
@@ -55,13 +63,17 @@ class Runs:
         self.spark.sql(f"DROP TABLE {name}")
         return run
 
-    def all(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
+    def unseen(self, firsts: DataFrame) -> DataFrame:
+        """The hashes of ``firsts`` that no run holds."""
+        for level, runs in enumerate(self.levels):
+            for run in runs:
+                firsts = firsts.join(run.select("hash").hint("merge"), "hash", "left_anti")
+                self.read.append(level)
+        return firsts
 
     def add(self, firsts: DataFrame) -> DataFrame:
         """Add the hashes of ``firsts`` that no run holds; returns them."""
-        for run in self.all():
-            firsts = firsts.join(run.select("hash"), "hash", "left_anti")
+        firsts = self.unseen(firsts)
         new = self._store(firsts)
         self._put(new, 0)
         return new
@@ -78,8 +90,11 @@ class Runs:
             self._put(self._store(merged), level + 1)
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """(id, hashes): per document the hashes of the lines it loses.  One row per id that loses any."""
+def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2, batch_rows: int = 1_000_000_000,
+                  runs: Runs | None = None) -> DataFrame:
+    """(id, hashes): per document the hashes of the lines it loses.  One row per id that loses any.
+    ``batches`` is the least number of batches; more are made so that one has about ``batch_rows`` line
+    hashes at most.  ``runs`` may hold the runs of earlier documents, with smaller ids."""
     spark = docs.sparkSession
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
 
@@ -91,13 +106,15 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
                 out_id += [i] * len(own)
                 out_hash += own
             yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_hash, pa.binary())], ["id", "hash"])
-    cuts = docs.select(ids.alias("id")).approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
-    batch = sum([(F.col("id") > F.lit(int(c))).cast("int") for c in sorted(set(cuts or []))], F.lit(0))
-    lines = written(docs.select(ids.alias("id"), "text").mapInArrow(hashed, "id long, hash binary")
-                    .withColumn("batch", batch), "line-hashes", "batch")
-    runs = Runs(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
+    hashes = written(docs.select(ids.alias("id"), "text").mapInArrow(hashed, "id long, hash binary"), "line-hashes")
+    batches = max(batches, math.ceil(hashes.count() / batch_rows))
+    at = [k / batches for k in range(1, batches)]
+    cuts = sorted({int(c) for c in (hashes.approxQuantile("id", at, 0.25 / batches) if at else None) or []})
+    batch = sum([(F.col("id") > F.lit(c)).cast("int") for c in cuts], F.lit(0))
+    lines = hashes.withColumn("batch", batch)
+    runs = runs or Runs(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     dropped = None
-    for k in range(len(set(cuts or [])) + 1):
+    for k in range(len(cuts) + 1):
         own = lines.where(F.col("batch") == k).select("id", "hash")
         new = runs.add(own.groupBy("hash").agg(F.min("id").alias("owner")))
         lost = own.join(new, (own["hash"] == new["hash"]) & (own["id"] == new["owner"]), "left_anti")
@@ -105,18 +122,19 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout
     return dropped.groupBy("id").agg(F.collect_set("hash").alias("hashes"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanout: int = 2, batch_rows: int = 1_000_000_000) -> DataFrame:
     """``docs`` with ``text`` less its dropped lines, and columns n_lines (before) and n_dropped.
 
     Keys of at least ``min_chars`` code points found in two or more documents lose all their lines
     except in the smallest doc_id that holds them; lines repeated inside one document stay.  Rows
     are never dropped; a null or empty text is one empty line and comes back empty.  Rows of one
     doc_id are one document; a null doc_id counts as the largest.  Other columns are passed on,
-    but for earlier n_lines and n_dropped.
+    but for earlier n_lines and n_dropped.  Whole texts of any length are read; an empty table gives
+    an empty result.
     """
     keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     marked = docs.withColumn("__line_dedup_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    lost = dropped_lines(docs, min_chars, batches, fanout).select(F.col("id").alias("__line_dedup_id"), F.col("hashes").alias("__line_dedup_lost"))
+    lost = dropped_lines(docs, min_chars, batches, fanout, batch_rows).select(F.col("id").alias("__line_dedup_id"), F.col("hashes").alias("__line_dedup_lost"))
     rows = marked.join(lost, "__line_dedup_id", "left").select(*keep, "text", "__line_dedup_lost")
 
     def cut(parts):

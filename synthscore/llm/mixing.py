@@ -2,9 +2,12 @@
 
 A classifier learned from labelled rows (naive Bayes over hashed words) gives every document a
 posterior over the domains.  A document of n tokens and posterior p adds rate * n * p[k] expected
-tokens to domain k.  Projected-gradient least squares fits bounded rates whose expected domain
-totals match the targets: each step needs one aggregation over all documents, and only a sum per
-domain and a domains x domains matrix reach the driver.
+tokens to domain k.  The least squares fit looks for the rates nearest to 1, none below a bound,
+whose expected domain totals match the targets.  Its gradient steps are taken on one multiplier per
+domain: a document's rate is the projection max(bound, 1 + p . u) of what the multipliers u ask for,
+so no rate has to be stored between steps.  A step uses the second moments too (a Newton step), needs
+one aggregation over all documents, and only a sum per domain and a domains x domains matrix reach
+the driver.
 """
 
 from __future__ import annotations
@@ -154,11 +157,12 @@ def fit_mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], tot
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total_tokens: float | None = None,
         keep_all: bool = True, max_rows: int = 20_000, seed: int = 11) -> DataFrame:
-    """The rows of ``fit_mix``; warns, with the report, where no rates reach the targets."""
+    """The rows of ``fit_mix`` and ``converged``, the same in every row: whether the rates reach the
+    targets.  Where they do not, it warns with the report; the rates are then the last step's."""
     out, report = fit_mix(docs, labelled, targets, total_tokens, keep_all, max_rows, seed)
     if not report["converged"]:
         warnings.warn(f"the memberships were not mixed to the targets: {report}", RuntimeWarning, stacklevel=2)
-    return out
+    return out.withColumn("converged", F.lit(bool(report["converged"])))
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:

@@ -40,8 +40,10 @@ def _matrix(col: pa.ChunkedArray, width: int) -> np.ndarray:
 
 def accumulate(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Scores (queries x candidates), term by term.  A posting list that holds most candidates is
-    scattered as a whole array, a short one through its indices."""
+    scattered as a whole array, a short one through its indices.  Scores that could pass 2^63 raise an error."""
     bound = np.abs(q).sum(axis=1, dtype=float).max(initial=0) * float(np.abs(c).max(initial=0))
+    if bound >= 2**63:
+        raise OverflowError(f"inner products up to {bound:.3g} do not fit a long")
     kind = np.int32 if bound < 2**31 else np.int64
     acc = np.zeros((len(q), len(c)), kind)
     for t in range(q.shape[1]):
@@ -92,6 +94,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int =
     with fewer than ``k`` candidates all are returned.  Vectors of different lengths are padded
     with zeros.  Rows with a null vec_id take no part; equal rows count once; rows of one id with
     different vectors are separate queries and candidates.  An empty table gives an empty result.
+    Scores are longs: vectors whose products could reach 2^63 raise an error.
     Every (query block, candidate block) pair is one bounded group; block numbers follow the counts.
     """
     v = (vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select(F.col("vec_id").cast("long"), "v")

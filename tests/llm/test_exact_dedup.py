@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from synthscore.llm import exact_dedup
-from synthscore.llm.common import with_totals
+from synthscore.operators.spread import with_totals
 
 from .test_edges import TEXTS, docs, frame, none  # noqa: F401
 
