@@ -6,8 +6,9 @@ Fit (all grouped aggregates, nothing per row on the driver):
     each row's scores come back through one join on (column, value) and one pivot by row key;
   * the correlation of the normal scores: one aggregate of d(d-1)/2 ``corr`` terms; the d x d
     matrix (schema-sized) is made positive definite and factorised on the driver;
-  * marginals: mean / std / min / max in one aggregate, and for the empirical family a quantile
-    grid of ``grid`` points per column (``percentile_approx``, size fixed by the parameter).
+  * marginals: mean / std / min / max in one aggregate; beta, gamma and truncated-normal marginals are
+    fitted to them (``families``); for the empirical family a quantile grid of ``grid`` points per
+    column (``percentile_approx``, size fixed by the parameter).
 Sample: ``spark.range(n)`` -> d hash-seeded standard normals per row -> correlated by the
 Cholesky factor -> mapped through each column's marginal family -> optional clip to [min, max].
 Randomness is a hash of (seed, column, row id), so a recomputed partition gives the same rows.
@@ -22,10 +23,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .families import POINTS, SPAN, quantile_table
 from .synth import hash_normal
 from .windows import prefix_le, value_cuts, with_bucket
 
-FAMILIES = ("norm", "uniform", "empirical")
+FAMILIES = ("norm", "uniform", "empirical", "beta", "gamma", "truncnorm")
 
 # Abramowitz & Stegun 7.1.26 coefficients for erf (|error| < 1.5e-7).
 _AS_P = 0.3275911
@@ -120,9 +122,15 @@ def fit_copula(real: DataFrame, key: str, cols: Sequence[str], family: str = "no
         probs = [i / (grid - 1) for i in range(grid)]
         g = real.agg(*[F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c) for c in cols]).first()
         model["grid"] = [list(g[c]) for c in cols]
+    if family in ("beta", "gamma", "truncnorm"):
+        model["table"] = [quantile_table(family, *map(float, x)) for x in zip(model["mean"], model["std"], model["min"], model["max"])]
     return model
 
 
+def _literal(values: Sequence[float]) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def sample_copula(spark: SparkSession, model: dict, n: int, seed: int = 0, enforce_min_max: bool = True,
                   id_col: str = "row_id") -> DataFrame:
     """``n`` synthetic rows from a fitted copula (one narrow projection over ``spark.range``)."""
@@ -138,10 +146,13 @@ def sample_copula(spark: SparkSession, model: dict, n: int, seed: int = 0, enfor
         elif model["family"] == "uniform":
             x = F.lit(lo) + F.lit(hi - lo) * norm_cdf(y)
         else:
-            g = model["grid"][i]
-            pos = norm_cdf(y) * F.lit(float(len(g) - 1))
+            if "table" in model:  # by normal score
+                g, pos = model["table"][i], (F.least(F.greatest(y, F.lit(-SPAN)), F.lit(SPAN)) + F.lit(SPAN)) * F.lit((POINTS - 1) / (2 * SPAN))
+            else:
+                g = model["grid"][i]
+                pos = norm_cdf(y) * F.lit(float(len(g) - 1))
             k = F.least(F.floor(pos).cast("int"), F.lit(len(g) - 2))
-            arr = F.array(*[F.lit(float(v)) for v in g])
+            arr = _literal(g)
             a0, a1 = F.element_at(arr, k + 1), F.element_at(arr, k + 2)
             x = a0 + (pos - k) * (a1 - a0)
         if enforce_min_max:

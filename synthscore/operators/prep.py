@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .coding import dense_codes
+
 
 def fit_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """F3 / P-9: level table (col_name, level, code); codes follow the lexicographic order of
-    the string form.  One row per distinct level — bounded by the categorical cardinality."""
+    the string form.  One row per distinct level, coded by range partition (``coding.dense_codes``), so a
+    column of very many levels is no single task."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).cast("string").alias("level"))
                                          for c in cols])).alias("_x")).select("_x.*")
     lv = long.where(F.col("level").isNotNull()).distinct()
-    w = Window.partitionBy("col_name").orderBy("level")
-    return lv.withColumn("code", (F.dense_rank().over(w) - 1).cast("bigint"))
+    return dense_codes(lv, ["col_name"], ["level"])
 
 
 def apply_codes(df: DataFrame, levels: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
@@ -51,19 +53,22 @@ def fit_fill_values(train: DataFrame, discrete: Sequence[str], continuous: Seque
     """F1 / P-8: mode (smallest of tied modes) for discrete / non-numeric columns, exact median
     for continuous ones, fitted on train only; an empty column fills with 0.
 
-    Returns (col_name, fill_str, fill_num): one row per column.  The mode buffer holds one
-    count per distinct value of a discrete column (bounded by its cardinality); medians use
-    the bounded exact-quantile plan.
+    Returns (col_name, fill_str, fill_num): one row per column.  Modes come from counts per distinct
+    value, summed before the shuffle; medians use the bounded exact-quantile plan.
     """
     from .quantiles import exact_quantiles
     spark = train.sparkSession
     parts = []
     if discrete:
-        modes = train.agg(*[F.mode(F.col(c), True).cast("string").alias(c) for c in discrete])
-        parts.append(modes.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("col_name"), F.coalesce(F.col(c), F.lit("0")).alias("fill_str"),
-                     F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias("fill_num")) for c in discrete]))
-            .alias("_x")).select("_x.*"))
+        types = {f.name: f.dataType for f in train.schema.fields}
+        number = lambda c: F.col(c).try_cast("double") if types[c].typeName() != "string" else F.lit(None).cast("double")
+        long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).cast("string").alias("level"), number(c).alias("num"))
+                                                for c in discrete])).alias("_x")).select("_x.*").where(F.col("level").isNotNull())
+        n = long.groupBy("col_name", "level", "num").agg(F.count(F.lit(1)).alias("_n"))
+        modes = n.groupBy("col_name").agg(F.min_by("level", F.struct(-F.col("_n"), F.col("num"), F.col("level"))).alias("m"))
+        modes = spark.createDataFrame([(c,) for c in discrete], "col_name string").join(modes, "col_name", "left")
+        parts.append(modes.select("col_name", F.coalesce("m", F.lit("0")).alias("fill_str"),
+                                  F.coalesce(F.col("m").try_cast("double"), F.lit(0.0)).alias("fill_num")))
     if continuous:
         long = melt(train, [], continuous)
         names = spark.createDataFrame([(c,) for c in continuous], "col_name string")
@@ -116,19 +121,17 @@ def label_space(*frames_and_cols) -> DataFrame:
     for df, c in frames_and_cols:
         x = df.select(F.col(c).cast("string").alias("label")).where(F.col("label").isNotNull())
         u = x if u is None else u.unionByName(x)
-    u = u.distinct()
-    return u.withColumn("idx", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("bigint"))
+    return dense_codes(u.distinct(), [], ["label"], "idx")
 
 
 def decode_codes(df: DataFrame, code_col: str, levels: DataFrame, out_col: str) -> DataFrame:
     """integer codes back to labels, clipped to the valid range [0, n-1].
-    ``levels``: (level, code) of one column — bounded by its cardinality, so the level
-    list is attached as one array."""
-    arr = levels.agg(F.sort_array(F.collect_list(F.struct("code", "level"))).alias("_lv"))
-    j = df.crossJoin(F.broadcast(arr))
-    n = F.size("_lv")
-    idx = F.least(F.greatest(F.round(F.col(code_col).cast("double")).cast("int"), F.lit(0)), n - 1)
-    return j.withColumn(out_col, F.element_at(F.col("_lv"), idx + 1)["level"]).drop("_lv")
+    ``levels``: (level, code) of one column; they are joined by code, never packed into one row."""
+    top = levels.agg(F.max("code").alias("_top"))
+    idx = F.least(F.greatest(F.round(F.col(code_col).cast("double")).cast("bigint"), F.lit(0)), F.col("_top"))
+    lv = levels.select(F.col("code").alias("_code"), F.col("level").alias(out_col))
+    j = df.crossJoin(top).withColumn("_at", idx)  # one row
+    return j.join(lv, F.col("_at") == F.col("_code"), "left").drop("_top", "_at", "_code")
 
 
 def assemble_decoded(df: DataFrame, id_cols: Sequence[str], template: Sequence[tuple[str, str]], numeric: Sequence[str],
@@ -166,3 +169,30 @@ def feature_matrix(df: DataFrame, train: DataFrame, id_cols: Sequence[str], nume
     cat = long.join(lv, ["col_name", "level"]).select(
         *ids, F.concat_ws("=", "col_name", "level").alias("feature"), F.lit(1.0).alias("value"))
     return num.unionByName(cat)
+
+
+def feature_vectors(df: DataFrame, train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """``df`` with a sparse vector per row: ``n_features``, ``indices`` (ascending) and ``values``.
+
+    The feature space is fitted on ``train``: the numerics (scaled by its mean and population std) in
+    the given order, then one place per train level of every categorical, columns in the given order,
+    levels in string order.  Zeros, nulls and unseen levels have no entry; no columns at all give one
+    zero column.  One join per categorical with its level table, no shuffle of a long matrix.
+    """
+    numeric, categorical = list(numeric), list(categorical)
+    out = apply_scaler(df, fit_scaler(train, numeric), numeric, "_z") if numeric else df
+    entries = [F.struct(F.lit(i).alias("i"), F.col(f"{c}_z").alias("v")) for i, c in enumerate(numeric)]
+    size, drop = len(numeric), [f"{c}_z" for c in numeric]
+    if categorical:
+        levels = fit_levels(train, categorical)
+        counts = {r["col_name"]: r["n"] for r in levels.groupBy("col_name").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per column
+        out = apply_codes(out, levels, categorical, "_code")
+        for c in categorical:
+            at = F.col(f"{c}_code")
+            entries.append(F.struct((F.lit(size) + at).cast("int").alias("i"), F.when(at >= 0, F.lit(1.0)).alias("v")))
+            size += counts.get(c, 0)
+        drop += [f"{c}_code" for c in categorical]
+    cells = F.filter(F.array(*entries), lambda e: e["v"].isNotNull() & ~F.isnan(e["v"]) & (e["v"] != 0)) if entries else F.array().cast("array<struct<i:int,v:double>>")
+    return (out.withColumn("_cells", cells).drop(*drop)
+            .select(*df.columns, F.lit(max(size, 1)).alias("n_features"), F.transform("_cells", lambda e: e["i"]).alias("indices"),
+                    F.transform("_cells", lambda e: e["v"]).alias("values")))

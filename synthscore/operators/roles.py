@@ -121,6 +121,6 @@ def discrete_levels(train: DataFrame, roles: DataFrame, target: str | None, task
                                                   F.first("_num").alias("_num"))
     n_lv = first.groupBy("col_name").agg(F.count(F.lit(1)).alias("_n"))
     first = first.join(n_lv, "col_name").where(F.col("_first") | (F.col("_n") <= int_cap))
-    from pyspark.sql import Window
-    w = Window.partitionBy("col_name").orderBy(F.when(F.col("_first"), F.col("_k")), F.col("_num"), F.col("level"))
-    return first.select("col_name", (F.row_number().over(w) - 1).alias("pos"), "level")
+    from .coding import dense_codes
+    first = first.withColumn("_o", F.when(F.col("_first"), F.col("_k")))
+    return dense_codes(first, ["col_name"], ["_o", "_num", "level"], "pos").select("col_name", F.col("pos").cast("int").alias("pos"), "level")

@@ -45,10 +45,10 @@ def running_min(df, part_cols, order_col, value_col, out_col, block_size: int =
 
 
 # ---------------------------------------------------------------- bucketed prefix counts
-DEFAULT_BUCKETS = 256
+DEFAULT_BUCKETS = 4096
 
 
-def bucket_of(v, cuts, steps: int = 10):
+def bucket_of(v, cuts, steps: int = 13):
     """Number of cut points <= v: binary search over a sorted array (at most 2^steps - 1
     cut points), JVM-side; an empty cut array short-cuts to bucket 0."""
     init = F.struct(F.lit(0).alias("lo"), F.coalesce(F.size(cuts), F.lit(0)).alias("hi"))
@@ -65,16 +65,14 @@ def bucket_of(v, cuts, steps: int = 10):
 
 
 def value_cuts(values: DataFrame, key_cols: Sequence[str], value_col: str, buckets: int = DEFAULT_BUCKETS,
-               accuracy: int = 10_000, rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Cut points of the value axis per key: one row per key with at most ``buckets - 1`` doubles
-    (bounded by keys x buckets, so it may be broadcast).  The number of buckets adapts to
-    the key's row count at run time (about ``rows_per_bucket`` rows each, at most ``buckets``),
-    so a small key gets no cut at all."""
-    probs = [i / buckets for i in range(1, buckets)]
+               accuracy: int = 20_000, rows_per_bucket: int = 250_000) -> DataFrame:
+    """Cut points of the value axis per key: one row per key with at most ``buckets - 1`` doubles.
+    The number of buckets follows the key's row count at run time (about ``rows_per_bucket`` rows each),
+    so a small key gets no cut at all; beyond ``buckets`` * ``rows_per_bucket`` rows (10^9) buckets grow."""
+    probs = "array(" + ", ".join(f"{i / buckets!r}D" for i in range(1, buckets)) + ")"
     g = values.groupBy(*key_cols).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.array_sort(F.array_distinct(F.percentile_approx(value_col, F.array(*[F.lit(p) for p in probs]), accuracy)))
-        .alias("_all"))
+        F.array_sort(F.array_distinct(F.expr(f"percentile_approx(`{value_col}`, {probs}, {accuracy})"))).alias("_all"))
     need = F.least(F.lit(buckets), F.ceil(F.col("_n") / F.lit(float(rows_per_bucket)))).cast("int")
     step = F.greatest(F.lit(1), F.floor(F.lit(float(buckets)) / need).cast("int"))
     cuts = F.when(need <= 1, F.array().cast("array<double>")).otherwise(
@@ -83,7 +81,7 @@ def value_cuts(values: DataFrame, key_cols: Sequence[str], value_col: str, bucke
 
 
 def with_bucket(df: DataFrame, cuts: DataFrame, key_cols: Sequence[str], value_col: str) -> DataFrame:
-    j = df.join(F.broadcast(cuts), list(key_cols)) if key_cols else df.crossJoin(F.broadcast(cuts))
+    j = df.join(cuts, list(key_cols)) if key_cols else df.crossJoin(cuts)  # one row without keys
     return j.withColumn("_b", bucket_of(F.col(value_col), F.col("_cuts"))).drop("_cuts")
 
 

@@ -363,6 +363,28 @@ def f6_feature_matrix(spark, sf_dir):
     return r9(m, "value")
 
 
+_Z = lambda c: f"round((cast({c} as double) - m_{c}) / case when s_{c} = 0 or s_{c} is null then 1 else s_{c} end, 6)"
+
+
+@register("f7_feature_vectors", fsql(f"""
+select id, split, cast((select {len(F6_NUM)} + count(*) from lvl where col_name in ('segment', 'visits')) as integer) as n_features,
+       (select string_agg(i || ':' || cast(round(v * 1e6) as bigint), ',' order by i) from (
+          select unnest([0, 1, 2]) as i, unnest([{', '.join(_Z(c) for c in F6_NUM)}]) as v
+          union all select {len(F6_NUM)} + a.code, 1e0 from (select 1) where a.code is not null
+          union all select {len(F6_NUM)} + (select count(*) from lvl where col_name = 'segment') + b.code, 1e0 from (select 1) where b.code is not null)
+        where v is not null and v <> 0) as vector
+from imp left join lvl a on a.col_name = 'segment' and a.level = segment
+left join lvl b on b.col_name = 'visits' and b.level = cast(visits as varchar), st""",
+    ("st", "select " + ", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in F6_NUM) + " from imp where split = 'train'")))
+def f7_feature_vectors(spark, sf_dir):
+    """the sparse feature vector of every row of both sides, fitted on the train side, as text."""
+    sp, train, test, enc, cont, fills = fitted(spark, sf_dir)
+    imp = P.apply_fills(sp, fills)
+    v = P.feature_vectors(imp, imp.where(F.col("split") == "train"), F6_NUM, F6_CAT)
+    pair = F.zip_with("indices", "values", lambda i, x: F.concat(i, F.lit(":"), F.round(F.round(x, 6) * 1e6).cast("bigint")))
+    return v.select(KEY, "split", "n_features", F.array_join(pair, ",").alias("vector"))
+
+
 # ---------------------------------------------------------------- E3, E7, F10, G4
 @register("e3_shuffle", psql(f"select id, row_number() over (order by {_h('7')}, id) - 1 as position from cl"))
 def e3_shuffle(spark, sf_dir):

@@ -121,6 +121,34 @@ def g3_gaussian_copula(spark, sf_dir):
     return sample_copula(spark, model, real.count(), seed=42)
 
 
+G3_FAMILIES = ("norm", "uniform", "beta", "gamma", "truncnorm")
+
+
+@register("g3_copula_families", with_fixtures(" union all ".join(
+    f"select '{f}' as family, '{c}' as col_name, count(*) as n_rows, true as in_bounds, true as mean_near, true as std_near from fx1_real"
+    for f in G3_FAMILIES for c in FX1_NUMERIC), "fx1_real"))
+def g3_copula_families(spark, sf_dir):
+    """The copula under every marginal family, sampled to the real row count: rows, bounds (min / max
+    of the real column) and moments (mean within 5 % and std within 15 % of the real std; a uniform has its own)."""
+    from ..operators.copula import fit_copula, sample_copula
+    real = fx1_real(spark, sf_dir).withColumn("rk", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    n, out = real.count(), None
+    for family in G3_FAMILIES:
+        m = fit_copula(real, "rk", FX1_NUMERIC, family=family)
+        x = sample_copula(spark, m, n, seed=42)
+        one = x.agg(F.count(F.lit(1)).alias("n"), *[a for c in FX1_NUMERIC for a in (
+            F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"), F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
+        rows = F.array(*[F.struct(
+            F.lit(family).alias("family"), F.lit(c).alias("col_name"), F.col("n").alias("n_rows"),
+            ((F.col(f"lo_{c}") >= m["min"][i]) & (F.col(f"hi_{c}") <= m["max"][i])).alias("in_bounds"),
+            (F.abs(F.col(f"m_{c}") - (m["mean"][i] if family != "uniform" else (m["min"][i] + m["max"][i]) / 2)) < 0.05 * m["std"][i]).alias("mean_near"),
+            (F.abs(F.col(f"s_{c}") - (m["std"][i] if family != "uniform" else (m["max"][i] - m["min"][i]) / 12 ** 0.5)) < 0.15 * m["std"][i]).alias("std_near"))
+            for i, c in enumerate(FX1_NUMERIC)])
+        one = one.select(F.explode(rows).alias("_x")).select("_x.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("k26_rescore_trials")
 def k26_rescore_trials(spark, sf_dir):
     """Rebuild every candidate's synthetic table (noisy bootstrap) and re-score it beside its log row."""
