@@ -88,6 +88,20 @@ def grid_candidates(spark: SparkSession, space: DataFrame) -> DataFrame:
                           F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))]).alias("params"))
 
 
+def candidate_errors(candidates: DataFrame, space: Mapping[str, Mapping]) -> DataFrame:
+    """(trial_id, error): what is wrong with a candidate's parameters, NULL where nothing is: a numeric
+    parameter that is no number, or one below 0 where the space's range is positive."""
+    texts = []
+    for name, s in space.items():
+        if str(s.get("type") or "").lower() not in ("float", "int"):
+            continue
+        raw = F.col("params")[name]
+        x = raw.try_cast("double")
+        texts += [F.when(raw.isNotNull() & (x.isNull() | F.isnan(x)), F.concat(F.lit(f"ValueError: {name}="), raw, F.lit(" is not a number"))),
+                  F.when(F.lit((s.get("low") or 0) >= 0) & (x < 0), F.concat(F.lit(f"ValueError: {name}="), raw, F.lit(" is below 0")))]
+    return candidates.select("trial_id", F.coalesce(*texts, F.lit(None).cast("string")).alias("error"))
+
+
 # ------------------------------------------------------------------ G1 / G2: bootstrap
 def draw_positions(n: int, candidates: DataFrame, seed: int) -> DataFrame:
     """(trial_id, draw, position): ``n`` draws with replacement from positions 0 .. n-1 per candidate.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import rankstats as M
 from ..operators.quantiles import exact_quantiles
 from ..operators.trials import PAIRS, SAMPLER_ORDER
+from ..session import cut_lineage
 from .common import r9, summaries, trial_sql
 from .registry import register
 
@@ -26,6 +27,11 @@ def dataset_df(spark, sf_dir):
     return M.dataset_level(seed_df(spark, sf_dir), SEEDS)
 
 
+def dataset_table(spark, sf_dir):
+    """``dataset_df`` written once: the tests read it many times, and it has a row per dataset and sampler."""
+    return cut_lineage(dataset_df(spark, sf_dir).coalesce(1))
+
+
 SEED_CTE = ("seedlvl", """
 select dataset, sampler, seed, avg(best_objective) as best_objective, count(best_objective) as n_generators,
        max(best_objective) as best_objective_max_over_gens, stddev_samp(best_objective) as best_objective_std_over_gens
@@ -80,7 +86,7 @@ from (select r.sampler, count(r.mean_best_j) as n_datasets, avg(r.mean_best_j) a
       group by r.sampler) a"""))
 def m3_descriptives(spark, sf_dir):
     """M3: descriptive statistics, average rank and wins per sampler."""
-    d = M.descriptives(dataset_df(spark, sf_dir), exact_quantiles)
+    d = M.descriptives(dataset_table(spark, sf_dir), exact_quantiles)
     return r9(d, "mean", "std", "min", "max", "average_rank", "q1", "median", "q3", "iqr")
 
 
@@ -142,7 +148,7 @@ select n_blocks, n_treatments, round(chi2, 9) as chi2, df, round(p_value, 9) as
 from fried""", ASC_CTE, FRIEDMAN_CTE))
 def m5_friedman(spark, sf_dir):
     """M5: Friedman chi-square (tie corrected), p-value and Kendall's W over complete datasets."""
-    f = M.friedman(dataset_df(spark, sf_dir), "dataset", "sampler", "mean_best_j", treatments=SAMPLER_ORDER)
+    f = M.friedman(dataset_table(spark, sf_dir), "dataset", "sampler", "mean_best_j", treatments=SAMPLER_ORDER)
     return r9(f, "chi2", "p_value", "kendalls_w")
 
 
@@ -205,7 +211,7 @@ from wx join labels_a la on la.sampler = wx.a join labels_a lb on lb.sampler = w
     ("labels_a", " union all ".join(f"select '{k}' as sampler, '{v}' as label" for k, v in SAMPLER_LABEL.items()))))
 def m6_wilcoxon_holm(spark, sf_dir):
     """M6 / M7 / M8: pairwise Wilcoxon signed-rank, Holm adjustment and direction labels."""
-    w = M.wilcoxon_pairs(dataset_df(spark, sf_dir), "dataset", "sampler", "mean_best_j", STAT_PAIRS)
+    w = M.wilcoxon_pairs(dataset_table(spark, sf_dir), "dataset", "sampler", "mean_best_j", STAT_PAIRS)
     h = M.holm(w)
     lab = F.create_map(*[x for kv in SAMPLER_LABEL.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     h = h.withColumn("direction", M.direction_label(F.col("mean_delta_a_minus_b"), F.element_at(lab, F.col("a")),
@@ -220,7 +226,7 @@ select n_treatments, n_blocks,
 from fried""", ASC_CTE, FRIEDMAN_CTE))
 def m9_nemenyi(spark, sf_dir):
     """M9: Nemenyi critical difference for the Friedman design."""
-    f = M.friedman(dataset_df(spark, sf_dir), "dataset", "sampler", "mean_best_j", treatments=SAMPLER_ORDER)
+    f = M.friedman(dataset_table(spark, sf_dir), "dataset", "sampler", "mean_best_j", treatments=SAMPLER_ORDER)
     cd = M.nemenyi_cd(F.col("n_treatments").cast("double"), F.col("n_blocks").cast("double"))
     return r9(f.select("n_treatments", "n_blocks", cd.alias("critical_difference")), "critical_difference")
 

@@ -8,6 +8,7 @@ from ..operators import synth as G
 from ..operators.sampling import hash_key
 from ..sources.fixtures import FX1_NUMERIC, fx1_real, fx1_synth, with_fixtures
 from .common import r9
+from .metrics import ALL_CTES, msql
 from .registry import register
 
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -149,12 +150,22 @@ def g3_copula_families(spark, sf_dir):
     return out
 
 
-@register("k26_rescore_trials")
+@register("k26_rescore_trials", msql("""
+select s.event_id, s.dataset, s.generator, s.sampler, s.seed, s.trial_number, s.fidelity, round(s.objective, 9) as objective,
+       round(q.column_shapes, 9) as column_shapes, round(q.column_pair_trends, 9) as column_pair_trends, round(q.sdv_quality, 9) as sdv_quality,
+       round(q.sdv_quality, 9) as fidelity_new,
+       case when s.trial_number % 6 = 5 then 'ValueError: noise_std=none is not a number' when q.trial_id is null then 'no rebuilt rows' end as error,
+       q.trial_id is null as sdv_unavailable
+from scored s left join qual q on q.trial_id = s.trial_number % 6 where s.state = 'COMPLETE'""", *ALL_CTES, trials=True))
 def k26_rescore_trials(spark, sf_dir):
-    """Rebuild every candidate's synthetic table (noisy bootstrap) and re-score it beside its log row."""
+    """Every COMPLETE trial of the log re-scored from its rebuilt table (by trial number: four stored
+    candidates, one that was never stored and one whose parameters cannot be rebuilt), logged columns beside the new ones."""
     from ..operators.fidelity import rescore_trials
-    from ..sources.fixtures import FX1_CATEGORICAL
-    cand = candidates(spark)
-    log = cand.select("trial_id", F.col("params")["noise_std"].cast("double").alias("noise_std"),
-                      (F.lit(1.0) - F.col("params")["noise_std"].cast("double")).alias("fidelity"))
-    return rescore_trials(log, fx1_real(spark, sf_dir), bootstrapped(spark, sf_dir), FX1_NUMERIC, FX1_CATEGORICAL)
+    from .common import scored
+    from .metrics import CAT, NUM
+    log = scored(spark, sf_dir).where(F.col("state") == "COMPLETE").select(
+        "event_id", "dataset", "generator", "sampler", "seed", "trial_number", "fidelity", "objective", (F.col("trial_number") % 6).alias("_candidate"))
+    params = spark.createDataFrame([(i, {"noise_std": t}) for i, t in enumerate(["0", "0.01", "0.05", "0.1", "0.1", "none"])], "trial_id long, params map<string,string>")
+    errors = G.candidate_errors(params, G.BOOTSTRAP_SPACE).where(F.col("error").isNotNull())
+    out = rescore_trials(log, fx1_real(spark, sf_dir), fx1_synth(spark, sf_dir), NUM, CAT, "_candidate", errors)
+    return r9(out.drop("_candidate"), "objective", "column_shapes", "column_pair_trends", "sdv_quality", "fidelity_new")

@@ -8,6 +8,7 @@ from ..functions.scalars import rescore_seed, trial_seed
 from ..operators import trials as T
 from ..operators.objective import PRESETS_SQL, clip_sql, presets_frame, score_under_presets
 from ..sources.fixtures import fx4_trials
+from ..session import cut_lineage
 from .common import KEYS_SQL, r9, scored, summaries, trial_sql
 from .registry import register
 
@@ -236,7 +237,8 @@ from cost left join (
 def k12_study_cost(spark, sf_dir):
     """Per-study cost (state counts, best trial, mean / median / sum seconds of COMPLETE, the
     failed and pruned trials, the trials that improved the best)."""
-    c = T.study_cost(scored(spark, sf_dir))
+    log = cut_lineage(scored(spark, sf_dir).select(*K, "trial_number", "state", "objective", "duration_s"))  # read by every part
+    c = T.study_cost(log)
     text = F.transform("errors", lambda e: F.concat_ws(":", e["trial_number"].cast("string"), e["state"]))
     c = c.withColumn("errors", F.array_join(text, ",")).withColumn("improved_at", F.coalesce(F.array_join(
         F.transform("running_best", lambda b: b["trial_number"].cast("string")), ","), F.lit(""))).drop("running_best")
