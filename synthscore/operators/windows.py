@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 DEFAULT_BLOCK = 4096
 
 
@@ -77,7 +79,8 @@ def value_cuts(values: DataFrame, key_cols: Sequence[str], value_col: str, bucke
     step = F.greatest(F.lit(1), F.floor(F.lit(float(buckets)) / need).cast("int"))
     cuts = F.when(need <= 1, F.array().cast("array<double>")).otherwise(
         F.filter(F.col("_all"), lambda x, i: (i + 1) % step == 0))
-    return g.select(*key_cols, cuts.alias("_cuts"))
+    # written: the sketch may fall out differently when it is computed anew for another branch
+    return cut_lineage(g.select(*key_cols, cuts.alias("_cuts")))
 
 
 def with_bucket(df: DataFrame, cuts: DataFrame, key_cols: Sequence[str], value_col: str) -> DataFrame:

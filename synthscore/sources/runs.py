@@ -8,6 +8,7 @@ calls, partitioned by the study keys where readers filter on them.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -59,21 +60,45 @@ def union_by_name(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def read_trial_files(spark: SparkSession, paths: Sequence[str], fmt: str = "csv", **options) -> DataFrame:
-    """A4 reader.  Self-describing formats merge their schemas in one scan; CSV headers
-    differ per file, so files are grouped by header line and each group read once."""
+def read_trial_files(spark: SparkSession, paths: Sequence[str], fmt: str = "csv", sep: str = ",", **options) -> DataFrame:
+    """A4 reader.  Self-describing formats merge their schemas in one scan.  CSV headers differ per
+    file: every line is read with the header of its own file, joined by path, into a map from column to
+    text, so no list of files and no plan per width is made.  The driver learns the column names and
+    their types (long, double, else text; empty fields are NULL) from one aggregation.  Fields may be
+    quoted, with "" for a quote, but hold no line breaks.
+    """
     if fmt == "parquet":
         return spark.read.option("mergeSchema", "true").parquet(*paths)
     if fmt == "json":
         return spark.read.json(list(paths))
-    # the header is in each file's first split; later splits are skipped before any row work
-    heads = spark.read.text(list(paths)).where(F.col("_metadata.file_block_start") == 0).select(
-        F.col("_metadata.file_path").alias("f"), "value", F.monotonically_increasing_id().alias("i")
-    ).where(F.col("value") != "")
-    first = heads.groupBy("f").agg(F.min_by("value", "i").alias("header"))
-    groups = first.groupBy("header").agg(F.collect_list("f").alias("files")).collect()  # one row per header shape
-    opts = {"header": "true", "inferSchema": "true", **{k: str(v) for k, v in options.items()}}
-    return union_by_name(spark.read.options(**opts).csv(r["files"]) for r in groups)
+    if options:
+        raise ValueError(f"unknown options {sorted(options)}")
+    place = F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("_f"), place.alias("_at"), "value").where(F.trim("value") != "")
+    # a header is its file's first line: in the file's first block, with the least row number there
+    heads = lines.where(F.col("_at.b") == 0).groupBy("_f").agg(F.min("_at").alias("_first"), F.min_by("value", "_at").alias("_head"))
+    rows = lines.join(heads, "_f").where((F.col("_at.b") != 0) | (F.col("_at.i") != F.col("_first.i")))
+    cells = rows.select(F.map_from_arrays(F.array_distinct(_fields(F.col("_head"), sep)),
+                                          F.slice(F.concat(_fields(F.col("value"), sep), F.array_repeat(F.lit(None).cast("string"), F.size(_fields(F.col("_head"), sep)))),
+                                                  F.lit(1), F.size(F.array_distinct(_fields(F.col("_head"), sep))))).alias("_m"))
+    names = heads.select(F.posexplode(_fields(F.col("_head"), sep)).alias("p", "name")).groupBy("name").agg(F.min("p").alias("p"))
+    names = [r["name"] for r in names.orderBy("p", "name").collect()]  # one row per distinct column
+    if not names:
+        return spark.createDataFrame([], "value string")
+    wide = cells.select(*[F.when(F.element_at("_m", F.lit(n)) != "", F.element_at("_m", F.lit(n))).alias(n) for n in names])
+    kinds = wide.agg(*[x for n in names for x in (
+        F.count_if(F.col(f"`{n}`").isNotNull() & F.col(f"`{n}`").try_cast("bigint").isNull()).alias(f"l_{n}"),
+        F.count_if(F.col(f"`{n}`").isNotNull() & F.col(f"`{n}`").try_cast("double").isNull()).alias(f"d_{n}"),
+        F.count(F.col(f"`{n}`")).alias(f"n_{n}"))]).first()
+    kind = {n: "string" if not kinds[f"n_{n}"] or kinds[f"d_{n}"] else "double" if kinds[f"l_{n}"] else "bigint" for n in names}
+    return wide.select(*[F.col(f"`{n}`").try_cast(kind[n]).alias(n) for n in names])
+
+
+def _fields(line: Column, sep: str) -> Column:
+    """The fields of one CSV line."""
+    cell = rf'{re.escape(sep)}("(?:[^"]|"")*"|[^{re.escape(sep)}]*)'
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(cell), F.lit(1)), lambda x: F.when(
+        x.startswith('"') & x.endswith('"') & (F.length(x) >= 2), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
 # ------------------------------------------------------------------ A8

@@ -12,6 +12,8 @@ answer can be checked against the batch answer over the same rows.
 * S2 ``refresh_comparison``: each micro-batch appends the new trials to the
   log table (one folder per batch id, so a retried batch overwrites itself)
   and rebuilds the comparison table from the whole log.
+* S1 + S2 ``start_live_report``: the same, incrementally; each micro-batch's counts are added to the
+  state of the batch before, and state and report are versioned, so readers never miss a table.
 * S3 ``hourly_throughput``: trials finished per hour and their mean objective,
   tumbling event-time window with a watermark for late rows (append mode).
 """
@@ -92,13 +94,15 @@ def live_status(counts: DataFrame, grid: DataFrame, target_trials: int | Column,
 
 
 def start_live_status(stream: DataFrame, grid: DataFrame, target_trials: int, out_path: str,
-                      checkpoint: str, keys: Sequence[str] = LIVE_KEYS, trigger: dict | None = None) -> StreamingQuery:
+                      checkpoint: str, keys: Sequence[str] = LIVE_KEYS, trigger: dict | None = None,
+                      queued: DataFrame | None = None) -> StreamingQuery:
     """S1 + S2 sink: the running counts (complete mode: one row per study, bounded by the grid)
-    are labelled against the grid scaffold and the status table is rewritten each trigger."""
+    are labelled against the grid scaffold and the status table is rewritten each trigger.  Cells that
+    ``queued`` lists are ``pending`` until their first trial."""
     counts = live_counts(stream, keys)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        live_status(batch, grid, target_trials, keys).write.mode("overwrite").parquet(out_path)
+        live_status(batch, grid, target_trials, keys, queued).write.mode("overwrite").parquet(out_path)
 
     w = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     return w.trigger(**(trigger or {"availableNow": True})).start()
@@ -122,6 +126,63 @@ def refresh_comparison(stream: DataFrame, log_path: str, report_path: str, check
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
+# ------------------------------------------------------------------ versioned tables, incremental state
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of a table that are complete: a folder ``v=<n>`` counts once its writer has committed it."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(_fs(spark, f"{path}/{n}/_SUCCESS")[1]))
+
+
+def read_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest complete version (older than ``before``), None without one.  A reader never sees a
+    version that is being written, and an older one stays while newer ones appear."""
+    known = [v for v in versions(spark, path) if before is None or v < before]
+    return spark.read.parquet(f"{path}/v={known[-1]}") if known else None
+
+
+def write_version(df: DataFrame, path: str, version: int, keep: int = 2) -> None:
+    """Write version ``version`` (again, after a failure) and delete all but the ``keep`` newest."""
+    df.write.mode("overwrite").parquet(f"{path}/v={version}")
+    spark = df.sparkSession
+    for old in versions(spark, path)[:-max(keep, 2)]:
+        fs, p = _fs(spark, f"{path}/v={old}")
+        fs.delete(p, True)
+
+
+def merge_counts(parts: DataFrame, keys: Sequence[str] = LIVE_KEYS) -> DataFrame:
+    """The counts of ``live_counts`` over several deliveries from those of each."""
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n_complete", "n_running", "n_fail", "n_pruned", "n_attempted")],
+                                    F.max("best_objective").alias("best_objective"))
+
+
+def start_live_report(stream: DataFrame, grid: DataFrame, target_trials: int, path: str, checkpoint: str,
+                      keys: Sequence[str] = LIVE_KEYS, queued: DataFrame | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """S1 + S2 incrementally: ``path/state`` holds the counts per study, ``path/report`` the labelled grid.
+
+    Every micro-batch is reduced to counts and added to the newest state of an earlier batch, so the log
+    is never read again and a batch that is replayed after a failure builds the same version anew.
+    Both tables are versioned by batch: a reader (``read_version``) sees the old report or the new one.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new, old = live_counts(batch, keys), read_version(spark, f"{path}/state", batch_id)
+        write_version(new if old is None else merge_counts(old.unionByName(new), keys), f"{path}/state", batch_id)
+        counts = spark.read.parquet(f"{path}/state/v={batch_id}")
+        write_version(live_status(counts, grid, target_trials, keys, queued), f"{path}/report", batch_id)
+
+    w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
 # ------------------------------------------------------------------ S3
 def hourly_throughput(trials: DataFrame, watermark: str | None = "2 hours",
                       group_cols: Sequence[str] = ("sampler",)) -> DataFrame:
