@@ -49,21 +49,26 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``limit`` labelled rows outside the held-out third.
+    """(doc_id, h, text, label) of the rows of at most ``limit`` labelled ids outside the held-out third;
+    ``h`` is a hash of the text.
 
     The ids with the smallest hashes are taken, so the sample is the same in every run and does
-    not depend on partitioning.  ``limit`` bounds the rows that a fit sees, also where an id is
-    repeated: equal rows count once, and of the different texts the ``limit`` first in the order of
-    their hashes are learned from.  Scoring covers all rows.
+    not depend on partitioning.  An id may have any number of rows: features are taken from them where
+    they are read, and ``first_rows`` bounds what a fit sees.  Scoring covers all rows.
     """
     y = F.col(label).cast("int")
     rows = (labels.select("doc_id", y.alias("label"))
             .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
             .groupBy("doc_id").agg(F.max("label").alias("label"))
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(rows), "doc_id")
-    texts = texts.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
-    return texts.orderBy(F.xxhash64("doc_id"), "doc_id", "_h").limit(limit).drop("_h")
+    return (docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(rows), "doc_id")
+            .select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text", "label"))
+
+
+def first_rows(features: DataFrame, limit: int) -> DataFrame:
+    """Of rows with doc_id and h at most ``limit``: equal rows count once, the first in the order of the
+    ids' hashes and of h stay."""
+    return features.dropDuplicates(["doc_id", "h"]).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(limit)
 
 
 # words of letters, digits and every non-ASCII character, on lower-cased UTF-8

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample
+from .common import first_rows, held_out, labelled_sample
 
 # byte classes of UTF-8 text
 _UPPER, _LOWER, _DIGIT, _SPACE, _STOP, _SHOUT, _SYMBOL, _OTHER = range(8)
@@ -108,9 +108,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     def measured(batches):
         for b in batches:
             x = np.array([statistics(t) for t in b.column("text").to_pylist()]).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([b.column("label").cast(pa.int32()), *map(pa.array, x.T.copy())], ["label", *STATS])
-    schema = "label int, " + ", ".join(f"{s} double" for s in STATS)
-    sample = labelled_sample(docs, labels, label, max_rows).mapInArrow(measured, schema).toPandas()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), b.column("label").cast(pa.int32()), *map(pa.array, x.T.copy())],
+                                             ["doc_id", "h", "label", *STATS])
+    schema = "doc_id long, h long, label int, " + ", ".join(f"{s} double" for s in STATS)
+    sample = first_rows(labelled_sample(docs, labels, label, max_rows).mapInArrow(measured, schema), max_rows).drop("doc_id", "h").toPandas()
     sample = sample.sort_values(list(sample.columns), kind="stable")  # equal sums whatever the partitioning
     return fit(sample[list(STATS)].to_numpy(), sample["label"].to_numpy(float), **params)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, term_hashes
+from .common import first_rows, held_out, labelled_sample, term_hashes
 
 
 @dataclass(frozen=True)
@@ -162,10 +162,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     def hashed(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column("label").cast(pa.int32()),
+                [b.column("doc_id"), b.column("h"), b.column("label").cast(pa.int32()),
                  pa.array([np.array(term_hashes(t), np.uint32).tobytes() for t in b.column("text").to_pylist()], pa.binary())],
-                ["label", "terms"])
-    sample = labelled_sample(docs, labels, label, max_rows).mapInArrow(hashed, "label int, terms binary").toPandas()
+                ["doc_id", "h", "label", "terms"])
+    sample = labelled_sample(docs, labels, label, max_rows).mapInArrow(hashed, "doc_id long, h long, label int, terms binary")
+    sample = first_rows(sample, max_rows).select("label", "terms").toPandas()
     # equal rows in equal order, whatever the partitioning
     sample = sample.sort_values(["label", "terms"], kind="stable")
     return fit([np.frombuffer(t, np.uint32) for t in sample["terms"]], sample["label"].to_numpy(float), **params)

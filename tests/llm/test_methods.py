@@ -90,9 +90,9 @@ def test_large_components_raise(spark):
 def test_sample_bounds_rows_not_only_ids(spark):
     docs = spark.createDataFrame([(5, f"text {i % 40}") for i in range(4000)] + [(i, "x") for i in range(6, 60)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, toxic int")
-    rows = common.labelled_sample(docs, labels, "toxic", 30).collect()
+    rows = common.first_rows(common.labelled_sample(docs, labels, "toxic", 30), 30).collect()
     assert len(rows) <= 30 and len({(r["doc_id"], r["text"]) for r in rows}) == len(rows)
-    many = common.labelled_sample(docs, labels, "toxic", 1000).collect()
+    many = common.first_rows(common.labelled_sample(docs, labels, "toxic", 1000), 1000).collect()
     assert sum(r["doc_id"] == 5 for r in many) in (0, 40)
 
 
