@@ -41,17 +41,15 @@ class FactorizationMachine:
         return np.repeat(np.arange(len(docs)), sizes)[hit], at[hit]
 
 
-def choose_terms(docs: list[np.ndarray], y: np.ndarray, max_terms: int, min_docs: int) -> np.ndarray:
-    """The terms that tell the classes apart best, by chi-squared, among those in ``min_docs`` rows or more."""
+def signed_terms(docs: list[np.ndarray], y: np.ndarray, min_docs: int) -> np.ndarray:
+    """The terms in ``min_docs`` rows or more that tell the classes apart on their own, by chi-squared."""
     flat = np.concatenate([*docs, np.empty(0, np.uint32)])
     terms, at = np.unique(flat, return_inverse=True)
     df = np.bincount(at, minlength=len(terms)).astype(float)
     pos = np.bincount(at, np.repeat(y, [len(d) for d in docs]).astype(float), len(terms))
     n, p = float(len(y)), float(y.sum())
     chi = n * (pos * n - df * p) ** 2 / np.maximum(df * (n - df) * p * (n - p), 1e-9)
-    chi[df < min_docs] = -1
-    best = np.argsort(-chi, kind="stable")[:max_terms]
-    return np.sort(terms[best[chi[best] > 3.84]])  # 5 % level: others carry no sign of the class
+    return terms[(df >= min_docs) & (chi > 3.84)]  # 5 % level: others carry no sign of the class
 
 
 def _descend(fm: FactorizationMachine, docs: list[np.ndarray], y: np.ndarray, steps: int, rate: float, l2: float,
@@ -102,10 +100,10 @@ def known_terms(docs: list[np.ndarray], min_docs: int) -> np.ndarray:
     return terms[df >= min_docs].astype(np.uint32)
 
 
-def _start(docs, y, terms, max_terms, min_docs, factors, steps, rate, l2, seed, spread) -> FactorizationMachine:
+def _start(docs, y, terms, min_docs, factors, steps, rate, l2, seed, spread) -> FactorizationMachine:
     """A machine over all ``terms`` in which those that tell the classes apart on their own are fitted;
     the others have no weight and random vectors of size ``spread``."""
-    signed = choose_terms(docs, y, max_terms, min_docs).astype(np.uint32)
+    signed = signed_terms(docs, y, min_docs).astype(np.uint32)
     share, rng = y.mean(), np.random.default_rng(seed)
     fm = FactorizationMachine(signed, float(np.log(share / (1 - share))), np.zeros(len(signed)), rng.normal(0, 0.05, (len(signed), factors)))
     if len(signed):
@@ -123,38 +121,61 @@ def _loss(fm: FactorizationMachine, row: np.ndarray, col: np.ndarray, y: np.ndar
     return float(-np.mean(y * np.log(s) + (1 - y) * np.log(1 - s)))
 
 
-def fit(docs: list[np.ndarray], y: np.ndarray, max_terms: int = 2048, min_docs: int = 3, factors: int = 4,
+def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept that turn the log odds ``z`` of rows a machine has not learned from into
+    probabilities: a logistic fit with targets a little inside 0 and 1."""
+    n1, n0 = y.sum(), len(y) - y.sum()
+    goal, a, c = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
+        q = p * (1 - p) + 1e-9
+        move = np.linalg.solve(np.array([[(q * z * z).sum(), (q * z).sum()], [(q * z).sum(), q.sum()]]) + 1e-6 * np.eye(2),
+                               np.array([((p - goal) * z).sum(), (p - goal).sum()]))
+        a, c = a - move[0], c - move[1]
+        if np.abs(move).max() < 1e-8:
+            break
+    return (float(a), float(c)) if np.isfinite(a + c) and a > 0 else (1.0, 0.0)
+
+
+def fit(docs: list[np.ndarray], y: np.ndarray, min_docs: int = 3, factors: int = 4,
         steps: int = 300, rate: float = 0.05, l2: float = 1e-4, seed: int = 7, patience: int = 40) -> FactorizationMachine:
     """Weights and vectors of all terms in ``min_docs`` rows or more.
 
-    The terms with a sign of their own (``max_terms`` at most) are fitted first; from there all terms
-    are fitted together, so that a pair is found whose terms say nothing one by one.  As many steps are
-    taken as lower the loss of every fifth row, held back for that; then all rows are learned from.
-    Without both classes the score is the share of toxic rows.
+    The terms with a sign of their own, however many, are fitted first; from there all terms are fitted
+    together, so that a pair is found whose terms say nothing one by one.  As many steps are taken as
+    lower the loss of every fifth row, held back for that.  The scores are calibrated by the log odds that
+    rows of three such folds get from machines that have not seen them.  Then all rows are learned from.  Without both classes the score is the share of toxic rows.
     """
     share = float(np.clip(y.mean() if len(y) else 0.0, 1e-4, 1 - 1e-4))
     terms = known_terms(docs, min_docs) if 0 < y.sum() < len(y) else np.empty(0, np.uint32)
     if not len(terms):
         return FactorizationMachine(terms, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, factors)))
-    how = (max_terms, min_docs, factors, steps, rate, l2, seed)
-    back = np.arange(len(y)) % 5 == 0
-    taken = 0
-    if back.any() and 0 < y[~back].sum() < (~back).sum():
-        learn, seen = [x for x, b in zip(docs, back) if not b], y[~back]
-        fm = _start(learn, seen, terms, *how, spread=0.01)
+    how = (min_docs, factors, steps, rate, l2, seed)
+    taken, seen = 0, []
+    for j in range(3):
+        back = np.arange(len(y)) % 5 == j
+        if not (0 < y[back].sum() < back.sum() and 0 < y[~back].sum() < (~back).sum()):
+            continue
+        learn, own = [x for x, b in zip(docs, back) if not b], y[~back]
+        fm = _start(learn, own, terms, *how, spread=0.01 if not j or taken else 0.0)
         row, col = fm.cells([x for x, b in zip(docs, back) if b])
-        least = _loss(fm, row, col, y[back])
-        for k, fm in enumerate(_descend(fm, learn, seen, steps, rate, l2, shared=True), 1):
+        odds = lambda m: np.log((s := np.clip(m.score(row, col, int(back.sum())), 1e-9, 1 - 1e-9)) / (1 - s))  # noqa: B023, E731
+        least, z = _loss(fm, row, col, y[back]), odds(fm)
+        for k, fm in enumerate(_descend(fm, learn, own, taken if j else steps, rate, l2, shared=True) if taken or not j else (), 1):
             loss = _loss(fm, row, col, y[back])
-            if loss < least:
-                taken, least = k, loss
-            if k - taken >= patience:
+            if j:
+                z = odds(fm)
+            elif loss < least:
+                taken, least, z = k, loss, odds(fm)
+            elif k - taken >= patience:
                 break
+        seen.append((z, y[back]))
+    slope, shift = calibration(*map(np.concatenate, zip(*seen))) if seen else (1.0, 0.0)
     fm = _start(docs, y, terms, *how, spread=0.01 if taken else 0.0)
     for fm in _descend(fm, docs, y, taken, rate, l2, shared=True) if taken else ():
         pass
     says = (fm.w != 0) | fm.v.any(axis=1)  # the rest add nothing to a score
-    return FactorizationMachine(fm.terms[says], fm.bias, fm.w[says], fm.v[says])
+    return FactorizationMachine(fm.terms[says], slope * fm.bias + shift, slope * fm.w[says], np.sqrt(slope) * fm.v[says])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 20_000, **params) -> FactorizationMachine:

@@ -68,3 +68,24 @@ def test_mixing_by_copies_with_one_domain_over_95_percent(spark):
     assert report["converged"] and abs(sum(report["reached"]) - 60_000) < 100
     with pytest.warns(RuntimeWarning, match="not mixed"):  # fewer tokens than the documents have, which all stay
         mixing.mix(docs, labelled, targets, total_tokens=60_000)
+
+
+def test_toxicity_at_a_useful_cut(spark):
+    """Held-out labelled rows of the larger table: most toxic ones pass 0.7, clean ones do not; no term is capped."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    known = labels.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", "toxic")
+    scores = {r["doc_id"]: r for r in toxicity.score_documents(known, model).collect() if r["held_out"]}
+    truth = {r["doc_id"]: r["toxic"] for r in known.select("doc_id", "toxic").collect() if r["doc_id"] in scores}
+    toxic = [scores[i]["predicted"] for i, y in truth.items() if y == 1]
+    clean = [scores[i]["predicted"] for i, y in truth.items() if y == 0]
+    assert np.mean(toxic) >= 0.8 and np.mean(clean) <= 0.005
+    assert len(model.terms) > 2048
+
+
+def test_calibration():
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=20_000) * 3
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(0.5 * z + 1)))).astype(float)
+    a, c = toxicity.calibration(z, y)
+    assert abs(a - 0.5) < 0.05 and abs(c - 1) < 0.1
