@@ -125,15 +125,21 @@ def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept that turn the log odds ``z`` of rows a machine has not learned from into
     probabilities: a logistic fit with targets a little inside 0 and 1."""
     n1, n0 = y.sum(), len(y) - y.sum()
-    goal, a, c = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
-        q = p * (1 - p) + 1e-9
+    goal, x = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), np.array([1.0, 0.0])
+    line = lambda v: np.clip(v[0] * z + v[1], -500, 500)
+    loss = lambda v: float((np.logaddexp(0, line(v)) - goal * line(v)).sum())
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-line(x)))
+        q, d = p * (1 - p) + 1e-9, p - goal
         move = np.linalg.solve(np.array([[(q * z * z).sum(), (q * z).sum()], [(q * z).sum(), q.sum()]]) + 1e-6 * np.eye(2),
-                               np.array([((p - goal) * z).sum(), (p - goal).sum()]))
-        a, c = a - move[0], c - move[1]
-        if np.abs(move).max() < 1e-8:
+                               np.array([(d * z).sum(), d.sum()]))
+        step = 1.0
+        while loss(x - step * move) > loss(x) and step > 1e-6:
+            step /= 2
+        x = x - step * move
+        if np.abs(step * move).max() < 1e-8:
             break
+    a, c = x
     return (float(a), float(c)) if np.isfinite(a + c) and a > 0 else (1.0, 0.0)
 
 
