@@ -45,7 +45,7 @@ def load_train_test(raw: DataFrame, cfg: Mapping, seed_sample="42", seed_split="
 
     ``cfg``: key, target, task, features (default: all other columns), cleaning entries as for
     ``clean``, max_int_categories, max_samples, test_size.  Codes are train levels (unseen or NULL:
-    -1); continuous features get a ``<name>_z`` column beside them.
+    -1); continuous features get a ``<name>_z`` column beside them.  The spec holds the row counts.
     """
     key, target, task = cfg["key"], cfg.get("target"), cfg.get("task", "classification")
     cap = int(cfg.get("max_int_categories", 20) or 0)
@@ -64,4 +64,6 @@ def load_train_test(raw: DataFrame, cfg: Mapping, seed_sample="42", seed_split="
     coded = P.apply_codes(filled, levels, enc)
     scaler = P.fit_scaler(coded.where(F.col("split") == "train"), cont)
     frame = P.apply_scaler(coded, scaler, cont, "_z") if cont else coded
-    return LoadedDataset(D.spec_from_roles(str(cfg.get("name", key)), rows, target, task), frame, levels, fills, scaler)
+    n = {r["split"]: r["n"] for r in sp.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    spec = D.spec_from_roles(str(cfg.get("name", key)), rows, target, task, n.get("train", 0), n.get("test", 0))
+    return LoadedDataset(spec, frame, levels, fills, scaler)

@@ -94,12 +94,12 @@ def override_roles(roles: DataFrame, categorical: Sequence[str] = (), target: st
     return out
 
 
-def spec_from_roles(key: str, roles_rows, target: str | None, task: str, n_rows: int = 0) -> DatasetSpec:
-    """The spec held by the driver (one row per column — schema-sized)."""
+def spec_from_roles(key: str, roles_rows, target: str | None, task: str, n_train: int = 0, n_test: int = 0) -> DatasetSpec:
+    """The spec held by the driver (one row per column — schema-sized) with the counts of both sides."""
     rows = list(roles_rows)
     cats = tuple(r["col_name"] for r in rows if r["role"] == "categorical")
     nums = tuple(r["col_name"] for r in rows if r["role"] == "numeric")
-    return DatasetSpec(key, target, task, tuple(r["col_name"] for r in rows), cats, nums, n_rows)
+    return DatasetSpec(key, target, task, tuple(r["col_name"] for r in rows), cats, nums, n_train + n_test, n_train, n_test)
 
 
 def discrete_levels(train: DataFrame, roles: DataFrame, target: str | None, task: str, order_key: Column,

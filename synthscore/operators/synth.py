@@ -152,17 +152,24 @@ def snap_label(v: Column, levels: Column) -> Column:
 
 
 def snap_discrete(synth: DataFrame, levels: DataFrame, numeric_level_cols: Sequence[str], label_cols: Sequence[str]):
-    """Snap all discrete columns; ``levels`` is the D5 long table (col_name, pos, level),
-    bounded by discrete cardinalities, packed into one broadcast row."""
-    packed = levels.groupBy("col_name").agg(F.sort_array(F.collect_list(F.struct("pos", "level"))).alias("_l"))
-    one = packed.agg(F.map_from_entries(F.collect_list(F.struct("col_name", F.transform("_l", lambda x: x["level"])))).alias("_lv"))
-    x = synth.crossJoin(F.broadcast(one))
+    """Snap all discrete columns; ``levels`` is the D5 long table (col_name, pos, level).
+
+    Labels are looked up in the level table by a join, so a column may have any number of them; a
+    numeric column carries its levels as an array to find the nearest (D5 keeps at most ``int_cap`` of
+    them for a column that is not categorical).  A column without levels stays as it is.
+    """
+    x = synth
     for c in numeric_level_cols:
-        lv = F.transform(F.col("_lv")[c], lambda s: s.try_cast("double"))
-        x = x.withColumn(c, F.when(F.col("_lv")[c].isNull(), F.col(c)).otherwise(snap_numeric(F.col(c).cast("double"), lv)))
+        own = levels.where(F.col("col_name") == c)
+        one = own.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "level"))), lambda r: r["level"].try_cast("double")).alias("_lv"))
+        x = x.crossJoin(one).withColumn(c, F.when(F.size("_lv") == 0, F.col(c)).otherwise(snap_numeric(F.col(c).cast("double"), F.col("_lv")))).drop("_lv")  # one row
     for c in label_cols:
-        x = x.withColumn(c, F.when(F.col("_lv")[c].isNull(), F.col(c).cast("string")).otherwise(snap_label(F.col(c), F.col("_lv")[c])))
-    return x.drop("_lv")
+        own = levels.where(F.col("col_name") == c)
+        first = own.agg(F.min_by("level", "pos").alias("_first"))
+        valid = own.select(F.col("level").alias("_valid")).distinct()
+        x = x.join(valid, F.col(c).cast("string") == F.col("_valid"), "left").crossJoin(first)  # one row
+        x = x.withColumn(c, F.coalesce("_valid", "_first", F.col(c).cast("string"))).drop("_valid", "_first")
+    return x
 
 
 # ------------------------------------------------------------------ G8: resize

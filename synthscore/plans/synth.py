@@ -85,31 +85,35 @@ from s, lv_num, lv_cat""", "fx1_real", "fx1_synth"))
 def g5_g7_snap_levels(spark, sf_dir):
     """Snap soft numeric values to the nearest real level and invalid labels to the
     first real level (first appearance in hash order)."""
+    from ..operators.coding import dense_codes
     real = fx1_real(spark, sf_dir)
-    num_lv = real.agg(F.array_sort(F.collect_set(F.col("l_linenumber").cast("double"))).alias("lv"))  # <= 20 levels
+    num = real.select(F.col("l_linenumber").cast("double").alias("v")).distinct()
+    num = dense_codes(num, [], ["v"], "pos").select(F.lit("linenumber_soft").alias("col_name"), "pos", F.col("v").cast("string").alias("level"))
     order = hash_key("42", "_rk")
     first = (real.withColumn("_rk", F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
              .where(F.col("l_returnflag").isNotNull()).groupBy("l_returnflag").agg(F.min(order).alias("_k")))
-    cat_lv = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "l_returnflag"))),
-                                   lambda x: x["l_returnflag"]).alias("lc"))
-    s = _snap_input(spark, sf_dir).crossJoin(F.broadcast(num_lv)).crossJoin(F.broadcast(cat_lv))
-    return s.select("trial_id", "l_orderkey", "l_linenumber",
-                    G.snap_numeric(F.col("linenumber_soft"), F.col("lv")).alias("linenumber_snapped"),
-                    G.snap_label(F.col("returnflag_raw"), F.col("lc")).alias("returnflag_snapped"))
+    flags = dense_codes(first, [], ["_k"], "pos").select(F.lit("returnflag_raw").alias("col_name"), "pos", F.col("l_returnflag").alias("level"))
+    s = G.snap_discrete(_snap_input(spark, sf_dir), num.unionByName(flags), ["linenumber_soft"], ["returnflag_raw"])
+    return s.select("trial_id", "l_orderkey", "l_linenumber", F.col("linenumber_soft").alias("linenumber_snapped"),
+                    F.col("returnflag_raw").alias("returnflag_snapped"))
 
 
 @register("g8_resize", with_fixtures("""
-select t.trial_id, (select count(*) from fx1_real) as n_rows from (select distinct trial_id from fx1_synth) t""",
+with n as (select count(*) as n from fx1_real),
+c as (select trial_id, count(*) as cnt from fx1_synth group by trial_id),
+r as (select s.*, unnest(range(0, greatest(cast(ceil(n.n / c.cnt) as bigint), 1))) as rep from fx1_synth s join c using (trial_id), n),
+k as (select *, rep || '#' || l_orderkey || '|' || l_linenumber as rkey from r),
+o as (select *, row_number() over (partition by trial_id order by md5('resize|' || rkey), rkey) as rn from k)
+select trial_id, l_orderkey, l_linenumber, count(*) as n_copies from o, n where rn <= n group by trial_id, l_orderkey, l_linenumber""",
                                      "fx1_real", "fx1_synth"))
 def g8_resize(spark, sf_dir):
-    """Every candidate resized to exactly the real row count (repeat, then first rows in hash order)."""
+    """Every candidate resized to exactly the real row count (repeat, then first rows in hash order):
+    how often each of its rows stands in the result."""
     n = fx1_real(spark, sf_dir).count()
     s = fx1_synth(spark, sf_dir).withColumn("_key", F.concat_ws("|", F.col("l_orderkey").cast("string"),
                                                                 F.col("l_linenumber").cast("string")))
     r = G.resize(s, n, "_key")
-    return r.groupBy("trial_id").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
+    return r.groupBy("trial_id", "l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n_copies"))
 
 
 @register("g3_gaussian_copula")
