@@ -172,4 +172,5 @@ def k26_rescore_trials(spark, sf_dir):
     params = spark.createDataFrame([(i, {"noise_std": t}) for i, t in enumerate(["0", "0.01", "0.05", "0.1", "0.1", "none"])], "trial_id long, params map<string,string>")
     errors = G.candidate_errors(params, G.BOOTSTRAP_SPACE).where(F.col("error").isNotNull())
     out = rescore_trials(log, fx1_real(spark, sf_dir), fx1_synth(spark, sf_dir), NUM, CAT, "_candidate", errors)
-    return r9(out.drop("_candidate"), "objective", "column_shapes", "column_pair_trends", "sdv_quality", "fidelity_new")
+    out = out.drop("_candidate").withColumnsRenamed({"fidelity": "fidelity_new", "fidelity_old": "fidelity"})
+    return r9(out, "objective", "column_shapes", "column_pair_trends", "sdv_quality", "fidelity_new")

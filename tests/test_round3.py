@@ -119,10 +119,10 @@ def test_rescored_trials_keep_their_log_rows(spark):
     log = spark.createDataFrame([(10, 1, 0.4), (11, 1, 0.7), (12, 2, 0.1), (13, 3, None)], "event long, cand long, fidelity double")
     errors = spark.createDataFrame([(3, "ValueError: no")], "trial_id long, error string")
     got = {r["event"]: r for r in fidelity.rescore_trials(log, real, syn, ["a", "b"], ["c"], "cand", errors).collect()}
-    assert set(got) == {10, 11, 12, 13} and got[10]["fidelity"] == 0.4 and got[11]["fidelity"] == 0.7
-    assert got[10]["fidelity_new"] == got[11]["fidelity_new"] == pytest.approx(1.0) and not got[10]["sdv_unavailable"] and got[10]["error"] is None
+    assert set(got) == {10, 11, 12, 13} and got[10]["fidelity_old"] == 0.4 and got[11]["fidelity_old"] == 0.7
+    assert got[10]["fidelity"] == got[11]["fidelity"] == pytest.approx(1.0) and not got[10]["sdv_unavailable"] and got[10]["error"] is None
     assert got[12]["error"] == "no rebuilt rows" and got[13]["error"] == "ValueError: no"
-    assert got[12]["sdv_unavailable"] and got[13]["sdv_unavailable"] and got[12]["fidelity_new"] is None
+    assert got[12]["sdv_unavailable"] and got[13]["sdv_unavailable"] and got[12]["fidelity"] is None
 
 
 def test_hundred_ragged_files(spark, tmp_path):
